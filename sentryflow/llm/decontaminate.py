@@ -37,13 +37,13 @@ BLOCKS = 8
 BROADCAST_ROWS = 200_000
 
 
-def shingles(text: str | Column, k: int = SHINGLE) -> Column:
-    """Array of 64-bit hashes of the k-word shingles in order; empty for fewer words."""
-    col = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.when(F.size(words) < k, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
+def with_shingles(df: DataFrame, text: str, k: int) -> DataFrame:
+    """Adds ``sh``: 64-bit hashes of the k-word shingles in order; empty for fewer words."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    sh = F.when(F.size("__words") < k, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size("__words") - (k - 1)), lambda i: F.xxhash64(F.slice("__words", i, k)))
     )
+    return once(once(df, "__words", words), "sh", sh).drop("__words")
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -75,7 +75,8 @@ def block(h: Column, b: int) -> Column:
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """item_id, n (shingles), sh, counts (distinct shingles with their counts), fp: one row an item of k words or more."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), shingles(text_col, k).alias("sh")).where(F.size("sh") > 0).distinct()
+    rows = with_shingles(benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")), "text", k)
+    rows = rows.select("item_id", "sh").where(F.size("sh") > 0).distinct()
     counts = F.transform(
         F.array_distinct("sh"), lambda g: F.struct(g.alias("g"), F.size(F.filter("sh", lambda x: x == g)).alias("c"))
     )
@@ -103,13 +104,14 @@ def matches(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     items = staged(items_of(benchmark, item_id_col, item_text_col, shingle), "items")
     grams = staged(items.select(F.explode("sh").alias("g"), "n").distinct().groupBy("g").agg(F.collect_set("n").alias("ns")), "grams")
-    hashed = spread(base).select("doc_id", F.xxhash64("text").alias("t"), shingles("text", shingle).alias("sh"))
+    base = base.withColumn("t", F.xxhash64("text"))
+    hashed = with_shingles(spread(base), "text", shingle)
     at = hashed.select("doc_id", "t", F.size("sh").alias("len"), F.posexplode("sh").alias("pos", "g"))
     hits = at.join(small(grams, BROADCAST_ROWS), "g").select("doc_id", "t", "len", "pos", F.explode("ns").alias("n")).where("len >= n")
     found = staged(hits.groupBy("doc_id", "t", "n", "len").agg(F.collect_set("pos").alias("hits")), "hits")
     docs_hit = staged(found.select("doc_id", "t").distinct(), "docs_hit")
-    near = base.withColumn("t", F.xxhash64("text")).join(small(docs_hit, 5 * BROADCAST_ROWS), ["doc_id", "t"], "left_semi")
-    near = near.dropDuplicates(["doc_id", "t"]).select("doc_id", "t", shingles("text", shingle).alias("sh"))
+    near = base.join(small(docs_hit, 5 * BROADCAST_ROWS), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
+    near = with_shingles(near, "text", shingle).select("doc_id", "t", "sh")
     starts = F.array_distinct(
         F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(p - F.col("n") + 1, F.lit(0)), F.least(p, F.col("len") - F.col("n")))))
     )
