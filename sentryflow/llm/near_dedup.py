@@ -44,6 +44,7 @@ MATCHES = 28
 LIST_BLOCK = 2048
 SET_BLOCK = 1 << 20
 BUCKET_BITS = 16
+BROADCAST_ROWS = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -311,7 +312,9 @@ def near_duplicates(
 def confirmed_links(base: DataFrame, members: DataFrame, percent: int, shingle: int) -> DataFrame:
     sizes = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / LIST_BLOCK), F.ceil(F.col("total") / SET_BLOCK), F.lit(1)).cast("long")
-    placed = members.join(sizes, "comp").select("rep", "comp", "n", blocks.alias("b"))
+    placed = members.join(sizes, "comp").select("rep", "comp", blocks.alias("b"))
+    if members.count() <= BROADCAST_ROWS:  # 24 bytes a row; beyond it texts and members meet by a shuffle
+        placed = F.broadcast(placed)
     texts = base.join(placed, base.doc_id == placed.rep).select("text", "rep", "comp", "b")
     sets = texts.mapInArrow(_sets(shingle), "set binary, rep long, comp long, b long")
     return (
