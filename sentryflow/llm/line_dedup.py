@@ -104,7 +104,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set("pos").alias("gone"))
     )
     keyed = base.withColumn("t", F.xxhash64("text"))
-    joined = keyed.join(marks, (keyed.doc_id == marks.m_doc) & (keyed.t == marks.m_t), "left").select("doc_id", "text", "gone")
+    joined = keyed.join(marks.hint("merge"), (keyed.doc_id == marks.m_doc) & (keyed.t == marks.m_t), "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_rewrite, "doc_id long, kept_text string, n_lines long, n_dropped long")
 
 

@@ -40,6 +40,11 @@ def word_hashes(text: str | None, words: WordHash) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
 
 
+def class_of(h: np.ndarray) -> int:
+    """64-bit name of a sequence of words."""
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def kgrams(h: np.ndarray, k: int) -> np.ndarray:
     acc = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
@@ -72,7 +77,7 @@ def _scan(min_words: int):
             for text in b.column(1):
                 h = word_hashes(text.as_py(), words)
                 n.append(len(h))
-                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                digest.append(class_of(h))
                 if len(h) >= min_words:
                     g = kgrams(h, k)
                     at = np.unique(selected(g, min_words - k + 1))
@@ -82,26 +87,31 @@ def _scan(min_words: int):
                     pos.append([])
                     key.append([])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(pos, pa.list_(pa.int32())), pa.array(key, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "n_words", "pos", "key"],
+                [b.column(0), pa.array(digest, pa.int64()), pa.array(n, pa.int64()), pa.array(pos, pa.list_(pa.int32())), pa.array(key, pa.list_(pa.int64()))],
+                names=["doc_id", "c", "n_words", "pos", "key"],
             )
 
     return run
 
 
 def _extend(min_words: int):
+    """Rows of a class (c), text and matched positions to the passages that selected them."""
     k = (min_words + 1) // 2
 
     def run(batches):
         words = WordHash()
         for b in batches:
-            for digest, text, hit in zip(b.column(0), b.column(1), b.column(2)):
-                g = kgrams(word_hashes(text.as_py(), words), k)
+            ids, starts, found = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+            for c, text, hit in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                h = word_hashes(text.as_py(), words)
+                if c != class_of(h):
+                    continue  # another text of the same id
+                g = kgrams(h, k)
                 (start,) = np.nonzero(np.isin(selected(g, min_words - k + 1), hit.values.to_numpy()))
-                h = passages(g, k, min_words)[start].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest.as_py()] * len(start), pa.binary()), pa.array(start.astype(np.int32)), pa.array(h)], names=["digest", "start", "passage"]
-                )
+                ids.append(np.full(len(start), c, np.int64))
+                starts.append(start.astype(np.int32))
+                found.append(passages(g, k, min_words)[start].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, starts, found)], names=["c", "start", "passage"])
 
     return run
 
@@ -116,7 +126,7 @@ def _merge(min_words: int):
                 firsts, lasts = s[np.concatenate(([0], cut + 1))], s[np.concatenate((cut, [len(s) - 1]))]
                 spans.append([{"start": int(a), "stop": int(z) + min_words} for a, z in zip(firsts, lasts)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=["digest", "spans"]
+                [b.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=["c", "spans"]
             )
 
     return run
@@ -125,38 +135,25 @@ def _merge(min_words: int):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_words, spans (array of start, stop in words) for each row."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = staged(spread(base).mapInArrow(_scan(min_words), "doc_id long, digest binary, n_words long, pos array<int>, key array<long>"), "suffixes")
-    classes = scanned.where(F.col("n_words") >= min_words).groupBy("digest").agg(
+    scanned = staged(spread(base).mapInArrow(_scan(min_words), "doc_id long, c long, n_words long, pos array<int>, key array<long>"), "suffixes")
+    classes = scanned.where(F.col("n_words") >= min_words).groupBy("c").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("pos").alias("pos"), F.first("key").alias("key")
     )
     classes = staged(classes, "classes")
-    suffixes = classes.select("digest", "rep", F.explode(F.arrays_zip("pos", "key")).alias("x")).select("digest", "rep", F.col("x.pos").alias("pos"), F.col("x.key").alias("key"))
+    suffixes = classes.select("c", F.explode(F.arrays_zip("pos", "key")).alias("x")).select("c", F.col("x.pos").alias("pos"), F.col("x.key").alias("key"))
     equal = suffixes.groupBy("key").count().where("count > 1").select("key")
-    matched = suffixes.join(equal, "key", "left_semi").groupBy("digest", "rep").agg(F.collect_list("pos").alias("hit"))
-    placed = matched.withColumnRenamed("rep", "r_id")
-    chosen = base.join(placed, base["doc_id"].eqNullSafe(placed["r_id"])).select("digest", "text", "hit")
-    found = staged(
-        chosen.mapInArrow(_checked(min_words), "digest binary, start int, passage long").distinct(), "passages"
-    )
+    matched = suffixes.join(equal.hint("merge"), "key", "left_semi").groupBy("c").agg(F.collect_list("pos").alias("hit"))
+    placed = matched.join(classes.select("c", "rep"), "c").withColumnRenamed("rep", "r_id")
+    chosen = base.join(placed.hint("merge"), base["doc_id"].eqNullSafe(placed["r_id"])).select("c", "text", "hit")
+    # a repeated row gives its passages twice, which marks only its own class, and that is a repeat as a whole
+    found = staged(chosen.mapInArrow(_extend(min_words), "c long, start int, passage long"), "passages")
     twice = found.groupBy("passage").count().where("count > 1").select("passage")
-    spans = found.join(twice, "passage", "left_semi").groupBy("digest").agg(F.collect_list("start").alias("starts")).mapInArrow(
-        _merge(min_words), "digest binary, spans array<struct<start:long,stop:long>>"
+    spans = found.join(twice.hint("merge"), "passage", "left_semi").groupBy("c").agg(F.collect_list("start").alias("starts")).mapInArrow(
+        _merge(min_words), "c long, spans array<struct<start:long,stop:long>>"
     )
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
     none = F.array().cast("array<struct<start:long,stop:long>>")
-    known = classes.select("digest", "copies").join(spans, "digest", "left")
-    out = scanned.select("doc_id", "digest", "n_words").join(known, "digest", "left")
+    known = classes.select("c", "copies").join(spans, "c", "left")
+    out = scanned.select("doc_id", "c", "n_words").join(known, "c", "left")
     return out.select("doc_id", "n_words", F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("spans", none)).alias("spans"))
 
-
-def _checked(min_words: int):
-    """As ``_extend``, for rows whose text is the one that the digest stands for (an id may repeat with other texts)."""
-    extend = _extend(min_words)
-
-    def run(batches):
-        words = WordHash()
-        for b in batches:
-            same = [hashlib.blake2b(word_hashes(t.as_py(), words).tobytes(), digest_size=16).digest() == d.as_py() for d, t in zip(b.column(0), b.column(1))]
-            yield from extend([b.filter(pa.array(same, pa.bool_()))])
-
-    return run
