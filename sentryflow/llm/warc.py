@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sentryflow.llm.files import open_dir
-from sentryflow.staging import new_path, spread, staged
+from sentryflow.staging import new_path, staged
 
 MIN_BYTES = 100
 _CHUNK = 1 << 20
@@ -198,7 +198,7 @@ def with_references(pages: DataFrame, *, id_col="page_id", url_col="url", html_c
 def write_archives(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
     """Monolithic archives below ``path``; returns their manifest (archive, records)."""
     path = path or new_path(pages.sparkSession, "warc")
-    rows = spread(with_references(pages, **columns))
+    rows = with_references(pages, **columns)
     return staged(rows.mapInArrow(_writer(path), "archive string, records long"), "warc_manifest")
 
 
