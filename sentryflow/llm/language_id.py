@@ -29,7 +29,7 @@ from sentryflow.staging import spread
 
 DIM = 1024
 PER_LANGUAGE = 400
-_VECTOR_BOUND = 16_384
+_VECTOR_BOUND = 8_192
 
 
 class Encoder:

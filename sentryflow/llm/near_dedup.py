@@ -51,7 +51,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class WordHash(dict):
     """Word bytes to 64-bit hash; emptied when it has grown to ``bound`` words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:

@@ -41,7 +41,7 @@ _UNSURE = re.compile(r" (?:\s|$)|[\x1c-\x1f]")
 class Tokenizer:
     """Texts to arrays of ids; pieces between spaces are cached, and the cache is emptied when full."""
 
-    def __init__(self, path: str = VOCABULARY, bound: int = 400_000):
+    def __init__(self, path: str = VOCABULARY, bound: int = 200_000):
         import tiktoken
 
         with open(path, "rb") as f:
