@@ -276,6 +276,11 @@ def _(spark, d):
 
 # --- windows and state ---------------------------------------------------------
 
+def rounded_features(f: DataFrame) -> DataFrame:
+    coarse = {"interarrival_mean", "interarrival_jitter"}
+    return f.select("device_id", "seq", *[F.round(c, 3 if c in coarse else 6).alias(c) for c in f.columns[3:]])
+
+
 @query("w2_window_features", f"""
 with {V.SQL_PACKETS}, nw as (select *, row_number() over (partition by device_id, destination_ip order by ts_s, seq) = 1 as is_new from packets),
 pr as (select a.device_id, a.seq, a.ts_s as now_s, b.* exclude (device_id, seq), b.seq as bseq, b.ts_s - lag(b.ts_s) over (partition by a.device_id, a.seq order by b.ts_s, b.seq) as gap
@@ -291,9 +296,7 @@ select device_id, seq, round(n/dt, 6) as packet_rate, round(bytes/dt, 6) as byte
   round(ob, 6) as outbound_packet_ratio, round(obb, 6) as outbound_byte_ratio, round(sf, 6) as short_flow_ratio, round(lf, 6) as long_flow_ratio, round(sp, 6) as small_packet_ratio, round(cf, 6) as failed_connection_score
 from g join bu using (device_id, seq)""")
 def _(spark, d):
-    f = windows.window_features(V.packets(spark, d), WINDOW)
-    coarse = {"interarrival_mean", "interarrival_jitter"}
-    return f.select("device_id", "seq", *[F.round(c, 3 if c in coarse else 6).alias(c) for c in f.columns[3:]])
+    return rounded_features(windows.window_features(V.packets(spark, d), WINDOW))
 
 
 @query("w1_window_counts", f"with {V.SQL_PACKETS} select a.seq, count(*) as n, sum(b.length_bytes) as bytes from packets a join packets b on a.device_id = b.device_id and b.ts_s >= a.ts_s - {WINDOW} and (b.ts_s < a.ts_s or (b.ts_s = a.ts_s and b.seq <= a.seq)) group by a.seq")

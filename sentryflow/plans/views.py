@@ -10,14 +10,14 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PROBS = ["benign", "scan_like", "flood_like", "beacon_like", "exfil_like", "unknown_like"]
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    e = read(spark, sf_dir, "events")
     return e.withColumn("ts_s", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packets(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     t = F.col("event_type")
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, read).select(
         F.col("event_id").alias("seq"), F.concat(F.lit("dev_"), F.col("user_id").cast("string")).alias("device_id"), "ts_s",
         (F.floor(F.col("value") * 10).cast("long") + 40).alias("length_bytes"),
         F.when(t == "purchase", "udp").when(t == "signup", "icmp").otherwise("tcp").alias("protocol"),
@@ -27,9 +27,9 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     t = F.col("event_type")
-    b = events(spark, sf_dir).select(
+    b = events(spark, sf_dir, read).select(
         "event_id", F.concat(F.lit("capture_"), (F.col("user_id") % 5).cast("string")).alias("source_file"),
         F.concat(F.lit("dev_"), F.col("user_id").cast("string")).alias("device_id"), "ts_s", F.col("event_id").alias("sequence_index"),
         F.when(t == "signup", "scan_like").when(t == "error", "flood_like").when(t == "purchase", "exfil_like").otherwise("benign").alias("true_label"),
