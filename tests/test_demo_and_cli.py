@@ -25,3 +25,12 @@ def test_command_line(spark, tmp_path, capsys):
     main(["stream-features", "--input", str(tmp_path / "p.csv"), "--output", str(tmp_path / "f")])
     assert json.loads(capsys.readouterr().out)["columns"] == 27
     assert sorted(float(r.tcp_ratio) for r in spark.read.option("header", True).csv(str(tmp_path / "f")).collect()) == [0.5, 1.0]
+
+
+def test_replay_command(spark, tmp_path):
+    rows = [("f", "d", i, None if i == 1 else 30.0 * i, 0.1, 0.9, 0.0, 0.0, 0.0) for i in range(3)]
+    names = "source_file string, device_id string, sequence_index long, ts_s double, prob_benign double, prob_scan_like double, prob_flood_like double, prob_beacon_like double, prob_unknown_like double"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "in"))
+    main(["replay", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out")])
+    got = {r.sequence_index: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert [got[i].state_scan for i in range(3)] == [2, 4, 5] and got[2].action_level > 0 and got[2].action
