@@ -5,7 +5,7 @@ Stages, each written as Parquet and read again as the next one's input:
 1. language: documents without a language (no letters) or with a profile cosine
    under ``MIN_LANGUAGE_SCORE`` go; profiles are learned from the labelled rows.
 2. near_dedup: of each group of near duplicates (five-word shingles, Jaccard of
-   0.85 or more) the smallest doc_id stays; of rows that repeat it, one.
+   0.8 or more) the smallest doc_id stays; of rows that repeat it, one.
 3. decontaminate: documents that hold a benchmark item go.
 4. mixing: documents are repeated or left out to the sources' target shares.
 5. packing: token ids in packed rows.
@@ -22,6 +22,9 @@ from sentryflow.llm import decontaminate as decontamination, language_id, mixing
 from sentryflow.staging import staged, table
 
 MIN_LANGUAGE_SCORE = 0.05
+NEAR_PERCENT = 80
+#: Equal coordinates of 48; a pair at exactly 0.8 has fewer with a chance of 8e-7.
+NEAR_MATCHES = 24
 #: The last stage cannot be expressed in SQL (byte-pair encoding, packing), nor the first (random vectors).
 ORACLE_SQL = None
 
@@ -33,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     rest = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
     w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")

@@ -321,3 +321,16 @@ def test_pipeline(spark, tmp_path):
     assert set(ids("mixing")) <= set(ids("decontaminate")) and len(ids("mixing")) > 40
     assert {x for r in seen["packing"].select("doc_ids").collect() for x in r[0]} == set(ids("mixing"))
     assert p.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_pipeline_near_threshold(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(8)]
+    rows = [(i, " ".join(w), "en", "s") for i, w in enumerate(texts)]
+    # two words changed: 86 of 106 shingles shared, 0.811; three: 81 of 111, 0.73
+    rows += [(100 + i, " ".join("x" if j in (30, 60) else x for j, x in enumerate(w)), "en", "s") for i, w in enumerate(texts)]
+    rows += [(200 + i, " ".join("y" if j in (20, 50, 80) else x for j, x in enumerate(w)), "en", "s") for i, w in enumerate(texts)]
+    kept = {r.doc_id for r in p.near_duplicates(spark, docs(spark, rows), "").select("doc_id").collect()}
+    assert kept == {*range(8), *range(200, 208)}
