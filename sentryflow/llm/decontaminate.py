@@ -13,6 +13,10 @@ that length:
 3. The exact weighted Jaccard similarity of the two shingle multisets must
    reach ``threshold``.
 
+A document that is shorter than an item is one window, the whole of it.  It is
+compared exactly, without step 2, if its shingles that are in items of that
+length are enough for ``threshold``: similarity is shared / (document + item - shared).
+
 A radius of 23 is 4.6 standard deviations above the distance expected at
 similarity 0.8, so step 2 practically never decides against step 3.
 
@@ -107,8 +111,10 @@ def matches(
     base = base.withColumn("t", F.xxhash64("text"))
     hashed = with_shingles(spread(base), "text", shingle)
     at = hashed.select("doc_id", "t", F.size("sh").alias("len"), F.posexplode("sh").alias("pos", "g"))
-    hits = at.join(small(grams, BROADCAST_ROWS), "g").select("doc_id", "t", "len", "pos", F.explode("ns").alias("n")).where("len >= n")
-    found = staged(hits.groupBy("doc_id", "t", "n", "len").agg(F.collect_set("pos").alias("hits")), "hits")
+    hits = at.join(small(grams, BROADCAST_ROWS), "g").select("doc_id", "t", "len", "pos", F.explode("ns").alias("n")).where(F.col("len") / F.col("n") >= threshold)
+    found = hits.groupBy("doc_id", "t", "n", "len").agg(F.collect_set("pos").alias("hits"))
+    enough = F.size("hits") / (F.col("len") + F.col("n") - F.size("hits")) >= threshold
+    found = staged(found.where((F.col("len") >= F.col("n")) | enough), "hits")
     docs_hit = staged(found.select("doc_id", "t").distinct(), "docs_hit")
     near = base.join(small(docs_hit, 5 * BROADCAST_ROWS), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
     near = with_shingles(near, "text", shingle).select("doc_id", "t", "sh")
@@ -116,7 +122,7 @@ def matches(
         F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(p - F.col("n") + 1, F.lit(0)), F.least(p, F.col("len") - F.col("n")))))
     )
     windows = (
-        near.join(found, ["doc_id", "t"])
+        near.join(found.where("len >= n"), ["doc_id", "t"])
         .select("doc_id", "t", "n", "sh", F.explode(starts).alias("start"))
         .select("doc_id", "t", "n", "start", "sh")
     )
@@ -133,6 +139,8 @@ def matches(
     pairs = probes.join(small(keys, BROADCAST_ROWS), ["n", "b", "v"]).where((F.bit_count(x) <= radius) & (first_block == F.col("b")))
     shared = F.aggregate("counts", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("w", lambda y: y == e["g"]))))
     scored = once(pairs, "shared", shared).withColumn("similarity", F.col("shared") / (2 * F.col("n") - F.col("shared")))
+    columns = ["doc_id", "t", "item_id", "start", "similarity"]
+    scored = scored.select(*columns).unionByName(whole_documents(near.join(found.where("len < n"), ["doc_id", "t"]), items).select(*columns))
     return (
         scored.where(F.col("similarity") >= threshold)
         .groupBy("doc_id", "t", "item_id")
@@ -141,6 +149,14 @@ def matches(
     )
 
 
+def whole_documents(short: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, t, item_id, start (0), similarity of documents (doc_id, t, sh, len, n) and the items of n shingles that share one."""
+    grams = short.select("doc_id", "t", "len", "n", F.explode("sh").alias("g")).groupBy("doc_id", "t", "len", "n", "g").agg(F.count("*").alias("have"))
+    listed = items.select("item_id", F.xxhash64("sh").alias("item_t"), "n", F.explode("counts").alias("e")).select("item_id", "item_t", "n", "e.g", "e.c")
+    pairs = grams.join(listed, ["n", "g"]).groupBy("doc_id", "t", "len", "n", "item_id", "item_t").agg(F.sum(F.least("have", "c")).alias("shared"))
+    return pairs.select("doc_id", "t", "item_id", F.lit(0).alias("start"), (F.col("shared") / (F.col("len") + F.col("n") - F.col("shared"))).alias("similarity"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found; all columns stay."""
     bad = staged(matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id", F.col("t").alias("__t")).distinct(), "bad")

@@ -334,3 +334,33 @@ def test_pipeline_near_threshold(spark):
     rows += [(200 + i, " ".join("y" if j in (20, 50, 80) else x for j, x in enumerate(w)), "en", "s") for i, w in enumerate(texts)]
     kept = {r.doc_id for r in p.near_duplicates(spark, docs(spark, rows), "").select("doc_id").collect()}
     assert kept == {*range(8), *range(200, 208)}
+
+
+def test_decontaminate_trimmed_items(spark):
+    rng = random.Random(14)
+    items = [(i, words(rng, n)) for i, n in enumerate((9, 10, 14, 24, 40, 40, 60))] + [(7, "a b c d e f g h a b c d e f g h a b c d")]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        for drop in range(1, 12):
+            rows += [(100 * i + drop, " ".join(w[:-drop])), (100 * i + 20 + drop, " ".join(w[drop:])), (100 * i + 40 + drop, " ".join([*w[: -drop - 1], "x"]))]
+    rows += [(9000, rows[0][1]), (9000, rows[0][1])]
+
+    def shingles(t):
+        w = t.split()
+        return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+
+    want = {}
+    for d, t in rows:
+        for i, item in items:
+            a, b = shingles(t), shingles(item)
+            best = max(((k / (2 * len(b) - k), -s) for s in range(len(a) - len(b) + 1) for k in [sum(min(a[s : s + len(b)].count(g), b.count(g)) for g in set(b))]), default=(0, 0))
+            if 0 < len(a) < len(b):
+                k = sum(min(a.count(g), b.count(g)) for g in set(b))
+                best = (k / (len(a) + len(b) - k), 0)
+            if best[0] >= 0.8:
+                want[d, i] = (-best[1], best[0])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(docs(spark, [(d, t, "en", "s") for d, t in rows]), bench).collect()
+    assert len(got) == len(want) and len(want) > 30
+    assert {(r.doc_id, r.item_id): (r.start_shingle, r.similarity) for r in got} == want
