@@ -2,13 +2,15 @@
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
 numbers.  Information-theoretic sanitisation adds terms: over all documents,
-df(t) is the number that hold term t, near(t, kind) the number that hold it
-within ``window`` words of a span of the kind, df(kind) the number with the kind, N
+df(t) is the number that hold term t outside base spans, both(t, kind) the number of
+those with a span of the kind anywhere, df(kind) the number with the kind, N
 all documents.  The information that t gives about the kind is
-PMI = log2(near * N / (df(t) * df(kind))), and IC = log2(N / df(kind)) is all
-there is to disclose.  A term discloses the kind if near >= ``support`` and
-PMI >= ``disclosure`` * IC; its occurrences near spans of that kind become
-spans of kind ``term``.
+PMI = log2(both * N / (df(t) * df(kind))), and IC = log2(N / df(kind)) is all
+there is to disclose.  A term discloses the kind if PMI >= ``disclosure`` * IC and
+so many common documents are not chance: the Chernoff bound of a binomial tail,
+2 ** -(df * KL(both / df, df(kind) / N)), is at most ``error`` over the number of
+pairs of term and kind that share a document.  Every occurrence of a disclosing
+term outside base spans, in whatever document, is a span of kind ``term``.
 
 ``sanitise`` generalises base spans to their kind, as [EMAIL], and removes terms as [TERM].
 
@@ -20,7 +22,6 @@ Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
-import bisect
 import re
 
 import pyarrow as pa
@@ -29,9 +30,14 @@ from pyspark.sql import DataFrame, functions as F
 from sentryflow.staging import spread, staged
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 3
-SUPPORT = 20
+#: One shared document is no co-occurrence.
+SUPPORT = 2
 DISCLOSURE = 0.8
+ERROR = 0.01
+#: Terms counted in a Python worker before they are handed on.
+COUNTED = 100_000
+#: Disclosing terms that a worker holds at once; more are searched for in several passes.
+HELD = 300_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,25 +89,6 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[str, str, int, int]]:
-    """(kind, term, start, end) of the words within ``window`` words of a span; words that overlap a span are none."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    taken = [False] * len(words)
-    ends = [w[1] for w in words]
-    place = []
-    for kind, s, e in spans:
-        lo, hi = bisect.bisect_right(ends, s), bisect.bisect_left(words, (e, 0))
-        place.append((kind, lo, hi))
-        for i in range(lo, hi):
-            taken[i] = True
-    out = set()
-    for kind, lo, hi in place:
-        for i in [*range(max(0, lo - window), lo), *range(hi, min(len(words), hi + window))]:
-            if not taken[i] and (t := term_of(text[words[i][0] : words[i][1]])):
-                out.add((kind, t, *words[i]))
-    return sorted(out, key=lambda x: (x[2], x[0]))
-
-
 _EDGE = ".,;:!?()[]{}\"'"
 
 
@@ -111,57 +98,126 @@ def term_of(word: str) -> str:
     return t if any(c.isalpha() for c in t) else ""
 
 
-def _scan(window: int):
+class Terms(dict):
+    """Word to its term (empty for none), or None if it is not in ``wanted``; emptied when it has grown to ``bound`` words."""
+
+    def __init__(self, wanted=None, bound: int = 200_000):
+        self.wanted, self.bound = wanted, bound
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= self.bound:
+            self.clear()
+        t = term_of(word)
+        t = self[word] = t if self.wanted is None or t in self.wanted else None
+        return t
+
+
+def free_words(text: str, spans: list[tuple[str, int, int]]):
+    """Matches of the words that overlap no span."""
+    taken = sorted((s, e) for _, s, e in spans)
+    at, reach = 0, 0
+    for m in _WORD.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= m.start():
+            yield m
+
+
+def _scan(batches):
+    for b in batches:
+        base = [[{"kind": k, "start": s, "stop": e} for k, s, e in base_spans(text.as_py())] for text in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(base, _BASE)], names=["row", "doc_id", "base"])
+
+
+def _count(batches):
+    """Documents that hold a term, and those of them with each kind, summed over what a worker has seen."""
+    terms, counts = Terms(), {}
+
+    def out():
+        sums = zip(*counts.values()) if counts else [[]] * (1 + len(KINDS))
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in sums)], names=["term", "df", *KINDS])
+
+    for b in batches:
+        for text in b.column(0):
+            text = text.as_py() or ""
+            spans = base_spans(text)
+            found = {terms[w] for w in set((m[0] for m in free_words(text, spans)) if spans else _WORD.findall(text))}
+            found.discard("")
+            has = {s[0] for s in spans}
+            one = [1, *(int(k in has) for k in KINDS)]
+            for t in found:
+                c = counts.get(t)
+                if c is None:
+                    counts[t] = one.copy()
+                elif spans:
+                    counts[t] = [x + y for x, y in zip(c, one)]
+                else:
+                    c[0] += 1
+            if len(counts) >= COUNTED:
+                yield out()
+                counts.clear()
+    yield out()
+
+
+def _search(wanted):
+    """The occurrences of the terms of a broadcast set, for the rows that have any."""
+
     def run(batches):
+        terms = Terms(wanted.value)
         for b in batches:
-            keys, base, near = b.column(0), [], []
-            for text in b.column(1):
+            at, found = [], []
+            for i, text in enumerate(b.column(1)):
                 text = text.as_py() or ""
-                spans = base_spans(text)
-                base.append([{"kind": k, "start": s, "stop": e} for k, s, e in spans])
-                near.append([{"kind": k, "term": t, "start": s, "stop": e} for k, t, s, e in near_terms(text, spans, window)] if spans else [])
-            yield pa.RecordBatch.from_arrays([keys, b.column(2), pa.array(base, _BASE), pa.array(near, _NEAR)], names=["row", "doc_id", "base", "near"])
+                if any(terms[w] is not None for w in set(_WORD.findall(text))):
+                    hits = [{"start": m.start(), "stop": m.end()} for m in free_words(text, base_spans(text)) if terms[m[0]] is not None]
+                    if hits:
+                        at.append(i)
+                        found.append(hits)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(found, _TERMS)], names=["row", "doc_id", "terms"])
 
     return run
 
 
 _BASE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-_SCAN = "row long, doc_id long, base array<struct<kind:string,start:long,stop:long>>, near array<struct<kind:string,term:string,start:long,stop:long>>"
+_TERMS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """kind, term, near, df, pmi, ic of the terms over the threshold; ``docs`` has text, ``scanned`` is what ``scan`` gave."""
-    n = scanned.count()
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE, error: float = ERROR) -> DataFrame:
+    """kind, term, both, df, pmi, ic of the terms over the threshold; ``docs`` has text, ``scanned`` the base spans."""
+    n = F.lit(float(scanned.count()))
     kinds = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("df_kind"))
-    near = (
-        scanned.select(F.explode(F.array_distinct(F.transform("near", lambda s: F.struct(s["kind"].alias("kind"), s["term"].alias("term"))))).alias("x"))
-        .groupBy("x.kind", "x.term")
-        .agg(F.count("*").alias("near"))
-        .where(F.col("near") >= support)
+    counts = docs.select("text").mapInArrow(_count, "term string, df long, " + ", ".join(f"{k} long" for k in KINDS))
+    counts = counts.groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(k).alias(k) for k in KINDS])
+    pairs = staged(
+        counts.select("term", "df", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("both")) for k in KINDS])).alias("x"))
+        .select("x.kind", "term", "x.both", "df")
+        .where("both > 0"),
+        "terms",
     )
-    candidates = staged(near.join(kinds, "kind"), "terms")
-    wanted = candidates.select("term").distinct()
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(_EDGE))))
-    df = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
-    pmi = F.log2(F.col("near") * F.lit(float(n)) / (F.col("df") * F.col("df_kind")))
-    ic = F.log2(F.lit(float(n)) / F.col("df_kind"))
-    out = candidates.join(df, "term").withColumn("pmi", pmi).withColumn("ic", ic)
-    return out.where((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
+    tests = F.lit(float(max(pairs.count(), 1)))
+    q, p = F.col("both") / F.col("df"), F.col("df_kind") / n
+    rest = F.when(F.col("both") < F.col("df"), (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0)
+    out = pairs.where(F.col("both") >= support).join(F.broadcast(kinds.where(F.col("df_kind") < n)), "kind")
+    out = out.withColumn("pmi", F.log2(q / p)).withColumn("ic", -F.log2(p)).withColumn("bits", F.col("df") * (q * F.col("pmi") + rest))
+    return out.where((F.col("pmi") >= disclosure * F.col("ic")) & (F.col("bits") >= F.log2(tests / error))).drop("bits", "df_kind")
 
 
-def find_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", support: int = SUPPORT, disclosure: float = DISCLOSURE, error: float = ERROR) -> DataFrame:
     """doc_id, t (hash of the text), base and terms (arrays of kind, start, stop) for each row."""
+    sc = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = staged(spread(base.select(F.xxhash64("text").alias("row"), "text", "doc_id")).mapInArrow(_scan(window), _SCAN), "spans")
-    terms = staged(disclosing_terms(base, scanned, support=support, disclosure=disclosure), "disclosing")
-    hit = (
-        scanned.select("doc_id", "row", F.explode("near").alias("x"))
-        .select("doc_id", "row", "x.kind", "x.term", "x.start", "x.stop")
-        .join(terms.select("kind", "term"), ["kind", "term"])
-        .groupBy("doc_id", "row")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("terms"))
-    )
+    texts = spread(base.select(F.xxhash64("text").alias("row"), "text", "doc_id"))
+    scanned = staged(texts.mapInArrow(_scan, "row long, doc_id long, base array<struct<kind:string,start:long,stop:long>>"), "spans")
+    terms = staged(disclosing_terms(texts, scanned, support=support, disclosure=disclosure, error=error).select("term").distinct(), "disclosing")
+    passes = max(1, -(-terms.count() // HELD))
+    hit = None
+    for i in range(passes):
+        wanted = sc.broadcast(frozenset(r[0] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i).toLocalIterator()))
+        some = texts.mapInArrow(_search(wanted), "row long, doc_id long, terms array<struct<start:long,stop:long>>")
+        hit = some if hit is None else hit.unionByName(some)
+    hit = hit.groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
     a, b = scanned.select("doc_id", "row", "base"), hit.withColumnsRenamed({"doc_id": "h_doc", "row": "h_row"})
     return a.join(b, a["doc_id"].eqNullSafe(b["h_doc"]) & (a["row"] == b["h_row"]), "left").select(
         "doc_id", F.col("row").alias("t"), "base", F.coalesce("terms", F.array().cast("array<struct<start:long,stop:long>>")).alias("terms")

@@ -364,3 +364,23 @@ def test_decontaminate_trimmed_items(spark):
     got = decontaminate.matches(docs(spark, [(d, t, "en", "s") for d, t in rows]), bench).collect()
     assert len(got) == len(want) and len(want) > 30
     assert {(r.doc_id, r.item_id): (r.start_shingle, r.similarity) for r in got} == want
+
+
+def test_pii_terms_of_whole_documents(spark):
+    far = "one two three four five six"
+    rows = [(i, f"codename {far} a{i}@b.com", "en", "s") for i in range(12)]  # under 20 documents, seven words away
+    rows += [(50, f"Codename, {far} codename", "en", "s"), (51, "once only", "en", "s")]  # no base span
+    rows += [(100 + i, f"plain {far} words", "en", "s") for i in range(400)] + [(99, "single z@b.com", "en", "s")]
+    got = {r.doc_id: r for r in pii.find_spans(docs(spark, rows)).collect()}
+    where = {d: [(s.start, s.stop) for s in r.terms] for d, r in got.items() if r.terms}
+    assert where == {i: [(0, 8)] for i in range(12)} | {50: [(0, 9), (len(far) + 11, len(far) + 19)]}
+
+
+def test_pii_passes_and_flushes(spark, monkeypatch):
+    rows = [(i, f"secret{i % 3} far from it all, a{i}@b.com secret{i % 3}", "en", "s") for i in range(60)] + [(100 + i, "far from it all", "en", "s") for i in range(300)]
+    d = docs(spark, rows)
+    want = sorted(map(tuple, pii.span_digests(pii.find_spans(d)).collect()))
+    assert sum(r[-1] for r in want) == 120
+    monkeypatch.setattr(pii, "HELD", 1)
+    monkeypatch.setattr(pii, "COUNTED", 2)
+    assert sorted(map(tuple, pii.span_digests(pii.find_spans(d)).collect())) == want
