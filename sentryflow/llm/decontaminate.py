@@ -116,13 +116,16 @@ def matches(
     enough = F.size("hits") / (F.col("len") + F.col("n") - F.size("hits")) >= threshold
     found = staged(found.where((F.col("len") >= F.col("n")) | enough), "hits")
     docs_hit = staged(found.select("doc_id", "t").distinct(), "docs_hit")
-    near = base.join(small(docs_hit, 5 * BROADCAST_ROWS), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
+    same = lambda a, b: (a["t"] == b["t"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+    listed = small(docs_hit, 5 * BROADCAST_ROWS)
+    near = base.join(listed, same(base, listed), "left_semi").dropDuplicates(["doc_id", "t"])
     near = with_shingles(near, "text", shingle).select("doc_id", "t", "sh")
+    with_hits = near.join(found, same(near, found)).select(near["doc_id"], near["t"], "sh", "n", "len", "hits")
     starts = F.array_distinct(
         F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(p - F.col("n") + 1, F.lit(0)), F.least(p, F.col("len") - F.col("n")))))
     )
     windows = (
-        near.join(found.where("len >= n"), ["doc_id", "t"])
+        with_hits.where("len >= n")
         .select("doc_id", "t", "n", "sh", F.explode(starts).alias("start"))
         .select("doc_id", "t", "n", "start", "sh")
     )
@@ -140,7 +143,7 @@ def matches(
     shared = F.aggregate("counts", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("w", lambda y: y == e["g"]))))
     scored = once(pairs, "shared", shared).withColumn("similarity", F.col("shared") / (2 * F.col("n") - F.col("shared")))
     columns = ["doc_id", "t", "item_id", "start", "similarity"]
-    scored = scored.select(*columns).unionByName(whole_documents(near.join(found.where("len < n"), ["doc_id", "t"]), items).select(*columns))
+    scored = scored.select(*columns).unionByName(whole_documents(with_hits.where("len < n"), items).select(*columns))
     return (
         scored.where(F.col("similarity") >= threshold)
         .groupBy("doc_id", "t", "item_id")

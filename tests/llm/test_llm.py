@@ -384,3 +384,13 @@ def test_pii_passes_and_flushes(spark, monkeypatch):
     monkeypatch.setattr(pii, "HELD", 1)
     monkeypatch.setattr(pii, "COUNTED", 2)
     assert sorted(map(tuple, pii.span_digests(pii.find_spans(d)).collect())) == want
+
+
+def test_decontaminate_null_id(spark):
+    rng = random.Random(15)
+    item = words(rng, 30)
+    d = docs(spark, [(None, f"{words(rng, 20)} {item}", "en", "s"), (None, " ".join(item.split()[:28]), "en", "s"), (None, words(rng, 40), "en", "s"), (1, words(rng, 40), "en", "s")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.matches(d, bench).collect()
+    assert sorted((r.doc_id is None, r.start_shingle) for r in got) == [(True, 0), (True, 20)]
+    assert decontaminate.decontaminate(d, bench).count() == 2
