@@ -16,7 +16,7 @@ never a near duplicate and stays; a null source is a source of its own; extra co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentryflow.llm import decontaminate as decontamination, language_id, mixing, near_dedup, packing
 from sentryflow.staging import staged, table
@@ -36,12 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    known = rest.where("doc_id is not null").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-    return known.unionByName(rest.where("doc_id is null")).select(*docs.columns)
+    return near_dedup.keep_one(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    planned = mixing.mix(docs, keys=[]).groupBy("doc_id", "source", "size").agg(F.min("repeats").alias("__repeats"))
-    planned = planned.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"})
-    same = docs["doc_id"].eqNullSafe(planned["__id"]) & docs["source"].cast("string").eqNullSafe(planned["__source"]) & (mixing.words(docs["text"]) == planned["__size"])
-    joined = docs.join(planned, same).where(F.col("__repeats") > 0)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__repeats")))).select(*[docs[c] for c in docs.columns])
+    return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

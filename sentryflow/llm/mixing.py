@@ -7,15 +7,17 @@ excess is shared by weight among the others until none is above.  Clamping in
 order of size / weight reaches that fixed point in one pass.
 
 A source's target is then ``whole`` repetitions of all its documents and one
-more of some: documents stand in the order of the MD5 of their id, and a document is
+more of some: documents stand in the order of the MD5 of ``seed`` and their id, and a document is
 repeated once more while the middle of its words, counted from the first of the source,
 lies within the words still wanted.  The error is half a document at most, and
 reruns agree.  A source is cut into 4,096 slices of that order, so that running
 sums of a hot source are made slice by slice.
 
 Defined cases: a null or wordless text has size 0 and takes 0; a source without
-words has target 0; rows with equal ids stand together, smaller first; a null
-id counts as the empty string in the order.
+words has target 0; rows with equal ids stand together, smaller first, then by
+the hash of the row; a null id counts as the empty string in the order; rows that
+are alike in all columns are each judged, in any order among them.
+Very long texts are one row like others.  Columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sentryflow.staging import staged
 
 WEIGHTS = (5, 2, 1)
+#: Copies of one row that one task makes, beyond the whole repetitions of its source.
+COPIES = 1000
 
 
 def words(text) -> Column:
@@ -54,11 +58,11 @@ def targets(sources: DataFrame, *, weights=WEIGHTS, share_percent: int = 150, ep
     return s.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share_percent: int = 150, epochs: int = 2, keys: list[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats, taken (and ``keys``) for each row of ``docs``."""
+def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share_percent: int = 150, epochs: int = 2, seed: str = "") -> DataFrame:
+    """doc_id, source, t (hash of the row), size, source_size, target, repeats, taken for each row of ``docs``."""
     sized = staged(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), *keys)
-        .withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), row_hash(docs).alias("t"), words(F.col(text_col)).alias("size"))
+        .withColumn("order", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
         .withColumn("slice", F.conv(F.substring("order", 1, 3), 16, 10).cast("int")),
         "sized",
     )
@@ -70,7 +74,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     plan = starts.join(plan, starts["source"].eqNullSafe(plan["source"])).select(
         starts["source"].alias("p_source"), starts["slice"].alias("p_slice"), "start", "source_size", "target"
     )
-    within = Window.partitionBy("source", "slice").orderBy("order", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("order", F.col("doc_id").asc_nulls_first(), "size", "t").rowsBetween(Window.unboundedPreceding, -1)
     d = sized.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(plan, d["source"].eqNullSafe(F.col("p_source")) & (d["slice"] == F.col("p_slice")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -78,4 +82,26 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     more = 2 * (F.col("start") + F.col("ahead")) + F.col("size") <= 2 * (F.col("target") - F.col("whole") * F.col("source_size"))
     repeats = F.when(F.col("size") > 0, F.col("whole") + (more & (F.col("whole") < epochs)).cast("long")).otherwise(F.lit(0))
     d = d.withColumn("repeats", repeats.cast("long"))
-    return d.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), *keys)
+    return d.select("doc_id", "source", "t", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a row's columns, but for maps."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def repeated(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix repeats it.
+
+    Rows that are alike in all columns share their repeats: each gets the whole part, and one of them the rest, in blocks of ``COPIES``.
+    """
+    planned = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    planned = staged(planned.groupBy("doc_id", "source", "t").agg(F.sum("repeats").alias("__all"), F.count("*").alias("__rows")), "plan")
+    planned = planned.where("__all > 0").withColumnsRenamed({"doc_id": "__p_id", "source": "__p_source", "t": "__p_t"})
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), row_hash(docs).alias("__t"))
+    same = F.col("__id").eqNullSafe(F.col("__p_id")) & F.col("__source").eqNullSafe(F.col("__p_source")) & (F.col("__t") == F.col("__p_t"))
+    copies = lambda df, n: df.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), n))).select("__row")
+    each = d.join(planned.where("__all >= __rows"), same)
+    rest = d.join(planned.where("__all % __rows > 0"), same).dropDuplicates(["__p_id", "__p_source", "__p_t"]).withColumn("__rest", F.expr("__all % __rows"))
+    rest = rest.withColumn("__block", F.explode(F.expr(f"sequence(0L, (__rest - 1) div {COPIES})"))).repartition("__p_t", "__block")
+    return copies(each, F.expr("__all div __rows")).unionByName(copies(rest, F.least(F.lit(COPIES), F.col("__rest") - COPIES * F.col("__block")))).select("__row.*")

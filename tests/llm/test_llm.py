@@ -394,3 +394,65 @@ def test_decontaminate_null_id(spark):
     got = decontaminate.matches(d, bench).collect()
     assert sorted((r.doc_id is None, r.start_shingle) for r in got) == [(True, 0), (True, 20)]
     assert decontaminate.decontaminate(d, bench).count() == 2
+
+
+def test_near_duplicates_ids_with_several_texts(spark):
+    rng = random.Random(21)
+    a, b = words(rng, 100), words(rng, 100)
+    near = " ".join([*b.split()[:-1], "x"])
+    rows = [(2, a), (7, a), (7, b), (9, near), (7, None), (9, ""), (11, None), (12, words(rng, 50)), (None, a), (None, None)]
+    got = near_dedup.near_duplicates(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    view = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got)
+    assert view == sorted([(2, 2, True), *[(7, 2, False)] * 3, (9, 2, False), (9, 2, False), (11, 11, True), (12, 12, True), (0, 0, True), (0, 0, True)])
+
+
+def test_keep_one_judges_rows(spark, monkeypatch):
+    rng = random.Random(22)
+    a, b, c = (words(rng, 100) for _ in range(3))
+    near = " ".join([*c.split()[:-1], "x"])
+    rows = [(3, a), (5, a), (5, b), (5, b), (8, c), (6, near), (None, near), (None, words(rng, 20)), (None, None), (4, ""), (4, "")]
+    d = docs(spark, [(i, t, "en", "s") for i, t in rows])
+    for limit in (500_000, 0):  # broadcast and shuffle of the members
+        monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", limit)
+        kept = near_dedup.keep_one(d)
+        assert kept.columns == d.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(3, a), (5, b), (6, near), (0, rows[7][1]), (0, ""), (4, ""), (4, "")])
+    assert near_dedup.keep_one(d.limit(0)).count() == 0
+
+
+def test_near_duplicates_chain_of_parts(spark, monkeypatch):
+    """Candidates that full sets do not hold together are still compared pair by pair, whatever the block."""
+    rng = random.Random(23)
+    base = words(rng, 120).split()
+    rows = []
+    for i in range(40):  # one template, every text with its own words: some pairs over the threshold, most under
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 5)):
+            w[at] = f"y{i}_{at}"
+        rows.append((i, " ".join(w)))
+    want = components(rows)
+    for block in (2048, 7):
+        monkeypatch.setattr(near_dedup, "LIST_BLOCK", block)
+        monkeypatch.setattr(near_dedup, "HUB_SLICE", block)
+        got = near_dedup.near_duplicates(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) > 3
+
+
+def test_mixing_repeats_rows(spark):
+    rng = random.Random(24)
+    rows = [(None, words(rng, 10), "en", "a") for _ in range(40)] + [(1, "same text here", "en", "b")] * 9 + [(2, words(rng, 30), "en", "b") for _ in range(9)] + [(3, None, None, None)]
+    d = docs(spark, rows).withColumn("__row", F.lit(1))
+    planned = {}
+    for r in mixing.mix(d).collect():
+        planned[r.source] = planned.get(r.source, 0) + r.repeats
+    out = mixing.repeated(d)
+    assert out.columns == d.columns
+    got = {}
+    for r in out.collect():
+        got[r.source] = got.get(r.source, 0) + 1
+    assert got == {k: v for k, v in planned.items() if v}
+    assert {r.text for r in out.collect() if r.source == "a"} == {t for _, t, _, s in rows if s == "a"} or planned["a"] < 40
+    first, second = (sorted(r.order for r in mixing.mix(d, seed=s).withColumn("order", F.concat_ws(":", "doc_id", "t", "taken")).select("order").collect()) for s in ("x", "x"))
+    assert first == second
+    assert mixing.repeated(d.limit(0)).count() == 0
