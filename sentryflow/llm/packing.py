@@ -52,9 +52,11 @@ class Tokenizer:
 
         class Cache(dict):
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= bound:
-                    self.clear()
-                ids = self[piece] = np.array(encode(" " + piece), dtype).tobytes()
+                ids = np.array(encode(" " + piece), dtype).tobytes()
+                if len(piece) <= 64:
+                    if len(self) >= bound:
+                        self.clear()
+                    self[piece] = ids
                 return ids
 
         self.cache = Cache()

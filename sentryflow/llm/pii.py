@@ -1,8 +1,10 @@
 """Personal data: pattern spans, and terms that disclose them by corpus co-occurrence.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
-numbers.  Information-theoretic sanitisation adds terms: over all documents,
-df(t) is the number that hold term t outside base spans, both(t, kind) the number of
+numbers.  A secret is a run of ``SECRET_CHARS`` characters or more with letters and digits
+whose characters carry ``SECRET_BITS`` bits each or more: text that no corpus predicts.  All five are
+protected kinds.  Information-theoretic sanitisation adds terms: over all documents,
+df(t) is the number that hold term t outside protected spans, both(t, kind) the number of
 those with a span of the kind anywhere, df(kind) the number with the kind, N
 all documents.  The information that t gives about the kind is
 PMI = log2(both * N / (df(t) * df(kind))), and IC = log2(N / df(kind)) is all
@@ -10,19 +12,22 @@ there is to disclose.  A term discloses the kind if PMI >= ``disclosure`` * IC a
 so many common documents are not chance: the Chernoff bound of a binomial tail,
 2 ** -(df * KL(both / df, df(kind) / N)), is at most ``error`` over the number of
 pairs of term and kind that share a document.  Every occurrence of a disclosing
-term outside base spans, in whatever document, is a span of kind ``term``.
+term outside protected spans, in whatever document, is a span of kind ``term``.
 
-``sanitise`` generalises base spans to their kind, as [EMAIL], and removes terms as [TERM].
+``sanitise`` generalises protected spans to their kind, as [EMAIL], and removes terms as [TERM].
 
 Defined cases: a null or empty text has no spans; a document is a row, so
 repeated rows count each; columns other than id and text are ignored; with
-no documents, or a kind in all of them (IC 0), nothing is added for it.
+no documents, or a kind in all of them (IC 0), nothing is added for it.  Very long
+texts are searched whole, a text at a time.  Columns may have any names.
 Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +35,9 @@ from pyspark.sql import DataFrame, functions as F
 from sentryflow.staging import spread, staged
 
 KINDS = ("email", "ip", "card", "phone")
+PROTECTED = (*KINDS, "secret")
+SECRET_CHARS = 20
+SECRET_BITS = 3.0
 #: One shared document is no co-occurrence.
 SUPPORT = 2
 DISCLOSURE = 0.8
@@ -89,6 +97,27 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+_OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SECRET_CHARS)
+
+
+def opaque(run: str) -> bool:
+    """Letters and digits mixed, with the Shannon information of a key a character."""
+    digits = sum(c.isdigit() for c in run)
+    if not 2 <= digits <= len(run) - 2 or not any(c.isalpha() for c in run):
+        return False
+    n = len(run)
+    return -sum(c / n * math.log2(c / n) for c in Counter(run).values()) >= SECRET_BITS
+
+
+def protected_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """The base spans, then the secrets that overlap none of them."""
+    out = base_spans(text)
+    if text:
+        taken = [(a, z) for _, a, z in out]
+        out += [("secret", m.start(), m.end()) for m in _OPAQUE.finditer(text) if opaque(m[0]) and not any(a < m.end() and m.start() < z for a, z in taken)]
+    return out
+
+
 _EDGE = ".,;:!?()[]{}\"'"
 
 
@@ -105,10 +134,12 @@ class Terms(dict):
         self.wanted, self.bound = wanted, bound
 
     def __missing__(self, word: str) -> str | None:
-        if len(self) >= self.bound:
-            self.clear()
         t = term_of(word)
-        t = self[word] = t if self.wanted is None or t in self.wanted else None
+        t = t if self.wanted is None or t in self.wanted else None
+        if len(word) <= 64:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = t
         return t
 
 
@@ -126,7 +157,7 @@ def free_words(text: str, spans: list[tuple[str, int, int]]):
 
 def _scan(batches):
     for b in batches:
-        base = [[{"kind": k, "start": s, "stop": e} for k, s, e in base_spans(text.as_py())] for text in b.column(1)]
+        base = [[{"kind": k, "start": s, "stop": e} for k, s, e in protected_spans(text.as_py())] for text in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(base, _BASE)], names=["row", "doc_id", "base"])
 
 
@@ -135,17 +166,17 @@ def _count(batches):
     terms, counts = Terms(), {}
 
     def out():
-        sums = zip(*counts.values()) if counts else [[]] * (1 + len(KINDS))
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in sums)], names=["term", "df", *KINDS])
+        sums = zip(*counts.values()) if counts else [[]] * (1 + len(PROTECTED))
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in sums)], names=["term", "df", *PROTECTED])
 
     for b in batches:
         for text in b.column(0):
             text = text.as_py() or ""
-            spans = base_spans(text)
+            spans = protected_spans(text)
             found = {terms[w] for w in set((m[0] for m in free_words(text, spans)) if spans else _WORD.findall(text))}
             found.discard("")
             has = {s[0] for s in spans}
-            one = [1, *(int(k in has) for k in KINDS)]
+            one = [1, *(int(k in has) for k in PROTECTED)]
             for t in found:
                 c = counts.get(t)
                 if c is None:
@@ -170,7 +201,7 @@ def _search(wanted):
             for i, text in enumerate(b.column(1)):
                 text = text.as_py() or ""
                 if any(terms[w] is not None for w in set(_WORD.findall(text))):
-                    hits = [{"start": m.start(), "stop": m.end()} for m in free_words(text, base_spans(text)) if terms[m[0]] is not None]
+                    hits = [{"start": m.start(), "stop": m.end()} for m in free_words(text, protected_spans(text)) if terms[m[0]] is not None]
                     if hits:
                         at.append(i)
                         found.append(hits)
@@ -188,10 +219,10 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, *, support: int = SUPP
     """kind, term, both, df, pmi, ic of the terms over the threshold; ``docs`` has text, ``scanned`` the base spans."""
     n = F.lit(float(scanned.count()))
     kinds = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("df_kind"))
-    counts = docs.select("text").mapInArrow(_count, "term string, df long, " + ", ".join(f"{k} long" for k in KINDS))
-    counts = counts.groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(k).alias(k) for k in KINDS])
+    counts = docs.select("text").mapInArrow(_count, "term string, df long, " + ", ".join(f"{k} long" for k in PROTECTED))
+    counts = counts.groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(k).alias(k) for k in PROTECTED])
     pairs = staged(
-        counts.select("term", "df", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("both")) for k in KINDS])).alias("x"))
+        counts.select("term", "df", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("both")) for k in PROTECTED])).alias("x"))
         .select("x.kind", "term", "x.both", "df")
         .where("both > 0"),
         "terms",
@@ -205,7 +236,7 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, *, support: int = SUPP
 
 
 def find_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", support: int = SUPPORT, disclosure: float = DISCLOSURE, error: float = ERROR) -> DataFrame:
-    """doc_id, t (hash of the text), base and terms (arrays of kind, start, stop) for each row."""
+    """doc_id, t (hash of the text), base (protected spans) and terms (arrays of kind, start, stop) for each row."""
     sc = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = spread(base.select(F.xxhash64("text").alias("row"), "text", "doc_id"))
@@ -247,15 +278,16 @@ def sanitise(docs: DataFrame, *, id_col="doc_id", text_col="text", **options) ->
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans of what ``find_spans`` gave."""
+    """doc_id, counts by kind, base_sha256, spans and flagged (any span) of what ``find_spans`` gave."""
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
-    base = F.transform("base", label)
+    base = F.transform(F.filter("base", lambda s: s["kind"] != "secret"), label)
     term = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["stop"].cast("string")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
-        *map(count, KINDS),
+        *map(count, PROTECTED),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, term), ",").alias("spans"),
+        F.array_join(F.concat(F.transform("base", label), term), ",").alias("spans"),
         F.size("terms").cast("long").alias("n_term"),
+        (F.size("base") + F.size("terms") > 0).alias("flagged"),
     )
