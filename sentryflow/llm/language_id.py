@@ -8,13 +8,19 @@ training texts, less the mean prototype of all languages.  A text gets the
 language whose prototype has the largest cosine with it, ties to the smallest
 language; the score is that cosine, clipped to 0..1.
 
-Fitting takes at most ``per_language`` labelled rows of each language (those
-with the smallest hash of their id); this is the only bound.  Prediction reads
-whole texts and nothing but the text.
+Fitting takes at most ``per_language`` labelled rows of each language; this is
+the only bound.  A row's level is the number of sixteenths of a halving that its
+hash lies below the top; a language takes all rows from the lowest level on
+whose rows together are within the bound.  Levels are counted first (a number
+a language and level), so no row moves: texts are bundled where they are read.
+Prediction reads whole texts, a batch at a time, and nothing but the text.
 
 Defined cases: a null text, or one without a letter, gives ``und`` and score 0,
 as does every text when no labelled row exists; rows with a null label or id
-are not learned from; repeated rows each get a row.
+are not learned from; repeated rows each get a row and count each towards the
+bound (rows alike in id and text that are more than it are not learned from);
+equal cosines go to the smallest language; columns may have any names, but
+``carry`` must not name ``lang_pred`` or ``score``.
 """
 
 from __future__ import annotations
@@ -23,13 +29,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sentryflow.staging import spread
 
 DIM = 1024
 PER_LANGUAGE = 400
 _VECTOR_BOUND = 8_192
+#: A text of at least LETTERS letters is in no learned language below this cosine.
+LEAST = 0.1
+LETTERS = 60
+#: Levels a halving of the hash; the taken rows are within 5 % of the bound.
+_STEPS = 16
 
 
 class Encoder:
@@ -67,7 +79,8 @@ class Encoder:
         cps = np.where(is_letter, cps, 32).astype(np.int64)
         keep = np.ones(len(cps), bool)
         keep[1:] = is_letter[1:] | is_letter[:-1]
-        cps = np.concatenate(([32], cps[keep], [32]))
+        cps = cps[keep]
+        cps = np.concatenate(([32], cps[int(cps[0] == 32) : len(cps) - int(cps[-1] == 32)], [32]))
         return np.unique(cps[:-2] << 42 | cps[1:-1] << 21 | cps[2:], return_counts=True)
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
@@ -120,14 +133,41 @@ class Profiles:
         score = np.where(known, np.clip(sims.max(axis=1), 0, 1), 0.0)
         return [self.languages[b] if k else "und" for b, k in zip(best, known)], score
 
+    def predict_all(self, texts: pa.Array, encoder: Encoder, at_once: int = 64) -> tuple[list[str], np.ndarray]:
+        langs, scores = [], [np.zeros(0)]
+        for lo in range(0, len(texts), at_once):
+            got = self.predict(texts.slice(lo, at_once).to_pylist(), encoder)
+            langs += got[0]
+            scores.append(got[1])
+        return langs, np.concatenate(scores)
+
+
+def lowest_level(counts: dict[int, int], bound: int) -> int | None:
+    """The lowest level from which on all rows are within the bound; None if even the highest has more."""
+    total, low = 0, None
+    for at in sorted(counts, reverse=True):
+        total += counts[at]
+        if total > bound:
+            break
+        low = at
+    return low
+
 
 def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, dim: int = DIM, id_col="doc_id", text_col="text", lang_col="lang") -> Profiles:
     """``train``: labelled rows.  At most ``per_language`` of each language are learned from."""
-    rows = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
-        "text is not null and lang is not null and i is not null"
+    level = F.floor(-_STEPS * F.log2((F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 11) + 1) / F.lit(2.0**53))).cast("int")
+    rows = train.select(F.col(lang_col).cast("string").alias("lang"), level.alias("level"), F.col(text_col).alias("text")).where(
+        F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
     )
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i", F.xxhash64("text"))
-    chosen = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "text")
+    counts: dict[str, dict[int, int]] = {}
+    # a language and level each: 53 * 16 numbers a language at most
+    for lang, at, n in rows.groupBy("lang", "level").count().collect():
+        counts.setdefault(lang, {})[at] = n
+    lowest = {lang: low for lang, c in counts.items() if (low := lowest_level(c, per_language)) is not None}
+    if not lowest:
+        return Profiles([], np.zeros((0, dim)), dim)
+    floor = F.create_map(*[F.lit(x) for pair in lowest.items() for x in pair])
+    chosen = rows.where(F.col("level") >= F.element_at(floor, F.col("lang"))).select("lang", "text")
 
     def bundle(batches):
         enc, sums = Encoder(dim), {}
@@ -155,20 +195,43 @@ def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, dim: int = DIM, i
 
 def predict(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """The columns ``carry``, lang_pred and score for each row."""
-    columns = docs.select(F.col(text_col).alias("__text"), *carry)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[1:])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_")).alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         enc = Encoder(profiles.dim)
         for b in batches:
-            texts, langs, scores = b.column(0), [], []
-            for lo in range(0, len(texts), 64):
-                got = profiles.predict(texts.slice(lo, 64).to_pylist(), enc)
-                langs += got[0]
-                scores.append(got[1])
-            scores = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"]
-            )
-
-    return spread(columns).mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double")
+            langs, scores = profiles.predict_all(b.column(1), enc)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+
+    out = spread(rows).mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in carry], "lang_pred", "score")
+
+
+def written_in(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", least: float = LEAST, letters: int = LETTERS) -> DataFrame:
+    """The rows of ``docs``, all columns, that are in a learned language.
+
+    A text without a letter goes.  One of ``letters`` letters or more goes if its score is under ``least``; a
+    shorter one is too little evidence against it and stays.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        enc = Encoder(profiles.dim)
+        for b in batches:
+            texts = pc.struct_field(b.column(0), [at])
+            langs, scores = profiles.predict_all(texts, enc)
+            keep = [lang != "und" and (s >= least or few_letters(t.as_py(), letters)) for lang, s, t in zip(langs, scores, texts)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return spread(rows).mapInArrow(run, rows.schema).select("row.*")
+
+
+def few_letters(text: str, bound: int) -> bool:
+    n = 0
+    for c in text:
+        n += c.isalpha()
+        if n >= bound:
+            return False
+    return True

@@ -240,7 +240,9 @@ def test_pii_terms(spark):
     rows = [(i, f"filler{i} words mailbox a{i}@b.com more filler", "en", "s") for i in range(30)] + [(100 + i, f"plain words number {i} here more filler", "en", "s") for i in range(100)]
     rows += [(500, None, None, None), (501, "", "en", "s"), (None, "mailbox z@b.com", "en", "s"), (0, rows[0][1], "en", "s")]
     d = docs(spark, rows)
-    got = {r.doc_id: r for r in pii.span_digests(pii.find_spans(d, support=5)).collect()}
+    found = pii.span_digests(pii.find_spans(d, support=5))
+    assert {"n_secret", "flagged"} <= set(found.columns)
+    got = {r.doc_id: r for r in found.collect()}
     assert len(got) == 133 and got[3].n_email == 1 and got[3].n_term == 1 and got[100].spans == "" and got[500].base_sha256 == hashlib.sha256(b"").hexdigest()
     clean = {r.doc_id: r.text for r in pii.sanitise(d, support=5).collect()}
     assert clean[3] == "filler3 words [TERM] [EMAIL] more filler" and clean[500] is None
@@ -380,7 +382,7 @@ def test_pii_passes_and_flushes(spark, monkeypatch):
     rows = [(i, f"secret{i % 3} far from it all, a{i}@b.com secret{i % 3}", "en", "s") for i in range(60)] + [(100 + i, "far from it all", "en", "s") for i in range(300)]
     d = docs(spark, rows)
     want = sorted(map(tuple, pii.span_digests(pii.find_spans(d)).collect()))
-    assert sum(r[-1] for r in want) == 120
+    assert sum(r[-2] for r in want) == 120
     monkeypatch.setattr(pii, "HELD", 1)
     monkeypatch.setattr(pii, "COUNTED", 2)
     assert sorted(map(tuple, pii.span_digests(pii.find_spans(d)).collect())) == want
@@ -456,3 +458,107 @@ def test_mixing_repeats_rows(spark):
     first, second = (sorted(r.order for r in mixing.mix(d, seed=s).withColumn("order", F.concat_ws(":", "doc_id", "t", "taken")).select("order").collect()) for s in ("x", "x"))
     assert first == second
     assert mixing.repeated(d.limit(0)).count() == 0
+
+
+def brute_terms(rows, disclosure=0.8, error=0.01, support=2):
+    """Spans of disclosing terms of whole documents, by the definition, from all texts at once."""
+    import math
+
+    spans = [pii.protected_spans(t) for _, t in rows]
+    holds = [{pii.term_of(m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "") if all(m.end() <= a or m.start() >= z for _, a, z in s)} - {""} for (_, t), s in zip(rows, spans)]
+    kinds = [{k for k, _, _ in s} for s in spans]
+    n, df, both = len(rows), {}, {}
+    for h, ks in zip(holds, kinds):
+        for t in h:
+            df[t] = df.get(t, 0) + 1
+            for k in ks:
+                both[t, k] = both.get((t, k), 0) + 1
+    bad = set()
+    for (t, k), b in both.items():
+        p, q = sum(k in ks for ks in kinds) / n, b / df[t]
+        if p < 1 and b >= support:
+            kl = q * math.log2(q / p) + ((1 - q) * math.log2((1 - q) / (1 - p)) if q < 1 else 0)
+            if math.log2(q / p) >= disclosure * -math.log2(p) and df[t] * kl >= math.log2(len(both) / error):
+                bad.add(t)
+    out = []
+    for (i, t), s in zip(rows, spans):
+        marks = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "") if all(m.end() <= a or m.start() >= z for _, a, z in s) and pii.term_of(m[0]) in bad]
+        out.append((i or 0, ",".join([f"{k}:{a}:{z}" for k, a, z in s] + [f"term:{a}:{z}" for a, z in marks])))
+    return sorted(out)
+
+
+def test_pii_whole_operator_against_brute_force(spark):
+    rng = random.Random(31)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f"{words(rng, 20, 40)} Mailbox: u{i}@x{i}.org {words(rng, 20, 40)}") for i in range(25)]
+    rows += [(100 + i, f"{words(rng, 20, 40)} token = \"{key()}\" {words(rng, 10, 40)}") for i in range(25)]
+    rows += [(200 + i, f"{words(rng, 20, 40)} call +49 (30) 1234-56{i:02d} or 10.0.0.{i}") for i in range(15)]
+    rows += [(300 + i, words(rng, 30, 40)) for i in range(300)] + [(900, "mailbox alone"), (901, None), (902, ""), (None, "token here"), (0, rows[0][1]), (903, words(rng, 20_000, 40))]
+    got = pii.span_digests(pii.find_spans(docs(spark, [(i, t, "en", "s") for i, t in rows]))).collect()
+    want = brute_terms(rows)
+    assert sorted((r.doc_id or 0, r.spans) for r in got) == want
+    assert sum("term:" in s for _, s in want) > 60 and {r.doc_id for r in got if r.n_secret} == set(range(100, 125))
+    assert all(r.flagged == bool(r.spans) for r in got)
+
+
+def test_language_brute_force_prototypes_and_names(spark):
+    """Prototypes and scores against the definition, over columns with the operator's own names; repeated rows and ties."""
+    rng = random.Random(32)
+    rows = [(i, words(rng, 12, 30) if i % 2 else " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(12)), "x" if i % 2 else "y", "s") for i in range(60)]
+    rows += [rows[0], rows[1], (70, "solo", None, "s")]
+    d = docs(spark, rows).withColumns({c: F.lit("c") for c in ("score", "lang_pred", "__text", "row", "level")})
+    dim, bound = 256, 20
+    got = language_id.fit(d, per_language=bound, dim=dim)
+
+    def vector(text):
+        v, enc = np.zeros(dim), language_id.Encoder(dim)
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        for a, b, c in zip(s, s[1:], s[2:]):
+            v += np.roll(enc.letter(ord(a)), 2).astype(float) * np.roll(enc.letter(ord(b)), 1) * enc.letter(ord(c))
+        return v / np.linalg.norm(v)
+
+    taken = {}
+    for lang in "xy":
+        own = d.where(F.col("lang") == lang).select("text", F.xxhash64("doc_id", "text").alias("h")).collect()
+        level = [int(np.floor(-16 * np.log2((((r.h % 2**64) >> 11) + 1) / 2**53))) for r in own]
+        low = language_id.lowest_level({v: level.count(v) for v in level}, bound)
+        taken[lang] = [r.text for r, v in zip(own, level) if v >= low]
+        assert 0 < len(taken[lang]) <= bound
+    protos = np.stack([s / np.linalg.norm(s) for s in (sum(vector(t) for t in taken[lang]) for lang in "xy")])
+    protos -= protos.mean(axis=0)
+    protos /= np.linalg.norm(protos, axis=1, keepdims=True)
+    assert got.languages == ["x", "y"] and np.allclose(got.prototypes, protos, atol=1e-5)
+    out = language_id.predict(d, got, carry=["doc_id", "text"]).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        sims = protos @ vector(r.text)
+        assert r.lang_pred == "xy"[int(sims.argmax())] and abs(r.score - min(1, max(0, sims.max()))) < 1e-5
+    assert language_id.lowest_level({3: 5, 1: 9}, 4) is None and language_id.lowest_level({3: 5, 1: 9}, 5) == 3
+
+
+def test_language_query_holds_out_by_id(spark, tmp_path):
+    import zlib
+
+    from sentryflow.llm import queries
+
+    rng = random.Random(33)
+    rows = [(i, words(rng, 30), "x", "s") for i in range(80)] + [(None, "abc", "x", "s"), (5, None, None, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_language(spark, str(tmp_path)).collect()
+    assert len(got) == 82 and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [(r.doc_id, r.lang_pred, r.score) for r in got if r.doc_id is not None]
+    # a held-out row's label and text do not reach the profiles
+    spark.createDataFrame([(i, t, "z" if zlib.crc32(str(i).encode()) % 4 == 2 else lang, s) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    again = queries.op5_language(spark, f"{tmp_path}/b").collect()
+    assert sorted(map(str, held)) == sorted(str((r.doc_id, r.lang_pred, r.score)) for r in again if r.doc_id is not None)
+
+
+def test_language_filter_keeps_short_texts(spark):
+    rng = random.Random(34)
+    alphabet = {"aa": ["ba", "du", "ki", "lo"], "bb": ["sch", "erz", "ung", "eit"]}
+    make = lambda k, n=30: " ".join("".join(rng.choice(alphabet[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, make(k), k, "s") for i, k in enumerate(["aa", "bb"] * 30)] + [(900, "Von.", "aa", "s"), (901, None, "aa", "s"), (902, "12 !", "aa", "s"), (903, "жщ " * 100, None, "s"), (None, make("aa"), None, None)]
+    d = docs(spark, rows).withColumns({c: F.lit("c") for c in ("score", "lang_pred", "__text", "row")})
+    kept = language_id.written_in(d, language_id.fit(d))
+    assert kept.columns == d.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted([*range(60), 900, -1])
+    assert language_id.written_in(d.limit(0), language_id.fit(d)).count() == 0
