@@ -20,11 +20,15 @@ length are enough for ``threshold``: similarity is shared / (document + item - s
 A radius of 23 is 4.6 standard deviations above the distance expected at
 similarity 0.8, so step 2 practically never decides against step 3.
 
+Windows are made in slices of ``STEP`` starts, dealt over all tasks, so that a long
+document is neither one task nor copied into each of its windows.
+
 Defined cases: null and short texts (under ``shingle`` words) match nothing, nor
 do such items; the windows of repeated rows are those of one row; items with
 equal texts all match; rows with a null doc_id or items with a null id are
-searched and reported like others; an empty table
-gives an empty result.
+searched and reported like others; very long texts and items are exact up to
+2 ** 31 shingles; equal similarities go to the first window; only the id and text
+columns are read, whatever others are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 23
 BLOCKS = 8
-#: A benchmark's shingles and a set of document keys are broadcast up to so many rows and joined by a shuffle beyond.
-BROADCAST_ROWS = 200_000
+#: A benchmark's shingles and fingerprints, and a set of document keys, are broadcast up to so many bytes and joined by a shuffle beyond.
+BROADCAST_BYTES = 48 << 20
+#: Windows in a slice of a document.
+STEP = 1024
 
 
 def with_shingles(df: DataFrame, text: str, k: int) -> DataFrame:
@@ -58,19 +64,19 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_simhash(df: DataFrame, sh: str, n: str, name: str) -> DataFrame:
     """Adds the 64-bit SimHash of an array of ``n`` shingle hashes: bit b is set if more than half of the hashes have it.
 
-    Four 16-bit counters a long, so arrays of up to 65,535 shingles are exact.
+    Two 32-bit counters a long, so arrays of under 2 ** 31 shingles are exact.
     """
-    lanes = 0x0001000100010001
+    lanes = 0x0000000100000001
 
     def counts(k: int) -> Column:
         return F.aggregate(sh, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(lanes)))
 
     bits = F.lit(0).cast("long")
-    for k in range(16):
-        for lane in range(4):
-            c = F.shiftrightunsigned(F.col("__lanes")[k], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bits = bits.bitwiseOR(F.when(2 * c > F.col(n), F.shiftleft(F.lit(1).cast("long"), k + 16 * lane)).otherwise(F.lit(0).cast("long")))
-    return once(once(df, "__lanes", F.array(*map(counts, range(16)))), name, bits).drop("__lanes")
+    for k in range(32):
+        for lane in range(2):
+            c = F.shiftrightunsigned(F.col("__lanes")[k], 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+            bits = bits.bitwiseOR(F.when(2 * c > F.col(n), F.shiftleft(F.lit(1).cast("long"), k + 32 * lane)).otherwise(F.lit(0).cast("long")))
+    return once(once(df, "__lanes", F.array(*map(counts, range(32)))), name, bits).drop("__lanes")
 
 
 def block(h: Column, b: int) -> Column:
@@ -87,9 +93,10 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
     return with_simhash(rows.select("item_id", F.size("sh").alias("n"), "sh", counts.alias("counts")), "sh", "n", "fp")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (staged), marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, width: Column | int) -> DataFrame:
+    """``df`` (staged), marked for broadcast if its rows, of ``width`` bytes each, are counted to be small."""
+    total = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df.hint("merge")
 
 
 def matches(
@@ -111,39 +118,42 @@ def matches(
     base = base.withColumn("t", F.xxhash64("text"))
     hashed = with_shingles(spread(base), "text", shingle)
     at = hashed.select("doc_id", "t", F.size("sh").alias("len"), F.posexplode("sh").alias("pos", "g"))
-    hits = at.join(small(grams, BROADCAST_ROWS), "g").select("doc_id", "t", "len", "pos", F.explode("ns").alias("n")).where(F.col("len") / F.col("n") >= threshold)
-    found = hits.groupBy("doc_id", "t", "n", "len").agg(F.collect_set("pos").alias("hits"))
+    hits = at.join(small(grams, 32 + 8 * F.size("ns")), "g").select("doc_id", "t", "len", "pos", F.explode("ns").alias("n")).where(F.col("len") / F.col("n") >= threshold)
+    # the windows that hold a hit start in few slices; a document shorter than the item is slice 0
+    last = F.greatest(F.col("len") - F.col("n"), F.lit(0))
+    first_slice = F.floor(F.least(F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0)), last) / STEP).cast("int")
+    slices = F.sequence(first_slice, F.floor(F.least(F.col("pos"), last) / STEP).cast("int"))
+    found = hits.withColumn("slice", F.explode(slices)).groupBy("doc_id", "t", "n", "len", "slice").agg(F.collect_set("pos").alias("hits"))
     enough = F.size("hits") / (F.col("len") + F.col("n") - F.size("hits")) >= threshold
     found = staged(found.where((F.col("len") >= F.col("n")) | enough), "hits")
-    docs_hit = staged(found.select("doc_id", "t").distinct(), "docs_hit")
-    same = lambda a, b: (a["t"] == b["t"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    listed = small(docs_hit, 5 * BROADCAST_ROWS)
-    near = base.join(listed, same(base, listed), "left_semi").dropDuplicates(["doc_id", "t"])
-    near = with_shingles(near, "text", shingle).select("doc_id", "t", "sh")
-    with_hits = near.join(found, same(near, found)).select(near["doc_id"], near["t"], "sh", "n", "len", "hits")
-    starts = F.array_distinct(
-        F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(p - F.col("n") + 1, F.lit(0)), F.least(p, F.col("len") - F.col("n")))))
-    )
-    windows = (
-        with_hits.where("len >= n")
-        .select("doc_id", "t", "n", "sh", F.explode(starts).alias("start"))
-        .select("doc_id", "t", "n", "start", "sh")
-    )
-    windows = with_simhash(once(windows, "w", F.slice("sh", F.col("start") + 1, F.col("n"))).drop("sh"), "w", "n", "fp")
+    docs_hit = staged(found.select(F.col("doc_id").alias("h_id"), F.col("t").alias("h_t")).distinct(), "docs_hit")
+    listed = small(docs_hit, 16)
+    near = base.join(listed, (F.col("t") == F.col("h_t")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left_semi").dropDuplicates(["doc_id", "t"])
+    near = with_shingles(near, "text", shingle).select(F.col("doc_id").alias("h_id"), F.col("t").alias("h_t"), "sh")
+    part = F.slice("sh", F.col("slice") * STEP + 1, F.when(F.col("len") < F.col("n"), F.col("len")).otherwise(F.col("n") + (STEP - 1)))
+    parts = found.join(near.hint("merge"), (F.col("t") == F.col("h_t")) & F.col("doc_id").eqNullSafe(F.col("h_id"))).select("doc_id", "t", "n", "len", "slice", "hits", part.alias("sh"))
+    parts = staged(parts.repartition("t", "n", "slice"), "slices")
+    low, high = F.col("slice") * STEP, F.least(F.col("slice") * STEP + (STEP - 1), last)
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(p - F.col("n") + 1, low), F.least(p, high)))))
+    windows = parts.where("len >= n").select("doc_id", "t", "n", "slice", "sh", F.explode(starts).alias("start"))
+    windows = with_simhash(once(windows, "w", F.slice("sh", F.col("start") - low + 1, F.col("n"))).drop("sh", "slice"), "w", "n", "fp")
     slack = radius // BLOCKS
     keys = staged(
-        items.select("item_id", "n", "counts", F.col("fp").alias("item_fp"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("fp"), b).alias("v0")) for b in range(BLOCKS)])).alias("k"))
-        .select("item_id", "n", "counts", "item_fp", F.col("k.b").alias("b"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(F.col("k.v0").bitwiseXOR(v)) <= slack)).alias("v")),
+        items.select("item_id", F.xxhash64("sh").alias("item_t"), "n", F.col("fp").alias("item_fp"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("fp"), b).alias("v0")) for b in range(BLOCKS)])).alias("k"))
+        .select("item_id", "item_t", "n", "item_fp", F.col("k.b").alias("b"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(F.col("k.v0").bitwiseXOR(v)) <= slack)).alias("v")),
         "blocks",
     )
     probes = windows.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("k")).select("doc_id", "t", "n", "start", "w", "fp", "k.b", "k.v")
     x = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first_block = F.coalesce(*[F.when(F.bit_count(block(x, b)) <= slack, F.lit(b)) for b in range(BLOCKS)])
-    pairs = probes.join(small(keys, BROADCAST_ROWS), ["n", "b", "v"]).where((F.bit_count(x) <= radius) & (first_block == F.col("b")))
+    pairs = probes.join(small(keys, 48), ["n", "b", "v"]).where((F.bit_count(x) <= radius) & (first_block == F.col("b"))).drop("b", "v", "fp", "item_fp")
+    # only what is within the radius meets the items' shingle counts
+    full = staged(items.select(F.col("item_id").alias("c_id"), F.xxhash64("sh").alias("c_t"), "counts"), "counts")
+    pairs = pairs.join(small(full, 32 + 24 * F.size("counts")), (F.col("item_t") == F.col("c_t")) & F.col("item_id").eqNullSafe(F.col("c_id")))
     shared = F.aggregate("counts", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("w", lambda y: y == e["g"]))))
-    scored = once(pairs, "shared", shared).withColumn("similarity", F.col("shared") / (2 * F.col("n") - F.col("shared")))
+    scored = once(pairs.select("doc_id", "t", "n", "item_id", "start", "w", "counts"), "shared", shared).withColumn("similarity", F.col("shared") / (2 * F.col("n") - F.col("shared")))
     columns = ["doc_id", "t", "item_id", "start", "similarity"]
-    scored = scored.select(*columns).unionByName(whole_documents(with_hits.where("len < n"), items).select(*columns))
+    scored = scored.select(*columns).unionByName(whole_documents(parts.where("len < n"), items).select(*columns))
     return (
         scored.where(F.col("similarity") >= threshold)
         .groupBy("doc_id", "t", "item_id")
@@ -162,7 +172,7 @@ def whole_documents(short: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found; all columns stay."""
-    bad = staged(matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id", F.col("t").alias("__t")).distinct(), "bad")
-    bad = bad.withColumnRenamed("doc_id", "__id")
-    keep = docs[id_col].cast("long").eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col]) == bad["__t"])
-    return docs.join(small(bad, 5 * BROADCAST_ROWS), keep, "left_anti")
+    bad = staged(matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("t").alias("__bad_t")).distinct(), "bad")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__t"))
+    same = F.col("__id").eqNullSafe(F.col("__bad_id")) & (F.col("__t") == F.col("__bad_t"))
+    return rows.join(small(bad, 16), same, "left_anti").select("__row.*")
