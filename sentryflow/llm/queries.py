@@ -131,9 +131,10 @@ with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '
      ds as (select doc_id, len(ws) - 4 as m, unnest(range(0, len(ws) - 4)) as pos, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) as g from dw where len(ws) >= 5),
      iall as (select item_id, len(ws) - 4 as n, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) as g from iw where len(ws) >= 5),
      ic as (select item_id, n, g, count(*) as c from iall group by item_id, n, g),
-     h as (select doc_id, item_id, n, c, g, unnest(range(greatest(pos - n + 1, 0), least(pos, m - n) + 1)) as s from ds join ic using (g) where m >= n),
-     x as (select doc_id, item_id, n, s, g, least(count(*), c) as k from h group by doc_id, item_id, n, s, g, c),
-     y as (select doc_id, item_id, s, cast(sum(k) as double) / cast(2 * n - sum(k) as double) as similarity from x group by doc_id, item_id, n, s),
+     h as (select doc_id, item_id, n as w, n, c, g, unnest(range(greatest(pos - n + 1, 0), least(pos, m - n) + 1)) as s from ds join ic using (g) where m >= n
+           union all select doc_id, item_id, m as w, n, c, g, 0 as s from ds join ic using (g) where m < n),
+     x as (select doc_id, item_id, w, n, s, g, least(count(*), c) as k from h group by doc_id, item_id, w, n, s, g, c),
+     y as (select doc_id, item_id, s, cast(sum(k) as double) / cast(w + n - sum(k) as double) as similarity from x group by doc_id, item_id, w, n, s),
      z as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, s) as r from y where similarity >= 0.8)
 select doc_id, item_id, cast(s as bigint) as start_shingle, similarity from z where r = 1""",
 }

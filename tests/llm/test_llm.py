@@ -269,7 +269,7 @@ def test_neighbours(spark):
     x[500:520] = x[3]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, [1.0]), (None, [1.0] * 16), (0, x[0].tolist())]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
-    got = ann.search(e, e.where("vec_id % 50 = 0"), visit=1.0).collect()
+    got = ann.search(e, e.where("vec_id % 50 = 0"), posting_rows=40).collect()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     ids = np.array([*range(600), 0])
     u = np.concatenate([u, u[:1]])
@@ -560,5 +560,94 @@ def test_language_filter_keeps_short_texts(spark):
     rows = [(i, make(k), k, "s") for i, k in enumerate(["aa", "bb"] * 30)] + [(900, "Von.", "aa", "s"), (901, None, "aa", "s"), (902, "12 !", "aa", "s"), (903, "жщ " * 100, None, "s"), (None, make("aa"), None, None)]
     d = docs(spark, rows).withColumns({c: F.lit("c") for c in ("score", "lang_pred", "__text", "row")})
     kept = language_id.written_in(d, language_id.fit(d))
-    assert kept.columns == d.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted([*range(60), 900, -1])
+    assert kept.columns == d.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted([*range(60), 900, -1])
     assert language_id.written_in(d.limit(0), language_id.fit(d)).count() == 0
+
+
+def brute_matches(rows, items, threshold=0.8):
+    """(doc_id, item_id) to (first best window, similarity) by weighted Jaccard similarity of every window."""
+    cut = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    want = {}
+    for d, t in rows:
+        a = grams(cut(t))
+        for i, item in items:
+            b = grams(cut(item))
+            if not b or not a:
+                continue
+            windows = [(s, a[s : s + len(b)]) for s in range(len(a) - len(b) + 1)] if len(a) >= len(b) else [(0, a)]
+            best = max((k / (len(w) + len(b) - k), -s) for s, w in windows for k in [sum(min(w.count(g), b.count(g)) for g in set(b))])
+            if best[0] >= threshold:
+                want[d, i] = (-best[1], best[0])
+    return want
+
+
+def test_decontaminate_between_threshold_and_one(spark, monkeypatch):
+    rng = random.Random(41)
+    items = [(i, words(rng, rng.randrange(30, 90))) for i in range(8)] + [(50, "one two three four five six " * 8)]
+    rows = []
+    for i, t in items:
+        for n in range(6):
+            w = t.split()
+            for at in rng.sample(range(len(w)), n // 2):
+                w[at] = f"z{n}"
+            if n % 2:
+                w.insert(len(w) // 2, "inserted")
+            rows.append((100 * i + n, f"{words(rng, 25)} {' '.join(w)} {words(rng, 25)}"))
+    rows += [rows[0], (9000, f"{words(rng, 3000)} {items[3][1]} {words(rng, 3000)} {items[4][1]} {items[4][1]}")]
+    want = brute_matches(rows, items)
+    assert 15 < len(want) < 9 * 7 and sum(0.8 <= s < 1 for _, s in want.values()) > 8
+    d, bench = docs(spark, [(i, t, "en", "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")
+    for limit, step in ((decontaminate.BROADCAST_BYTES, decontaminate.STEP), (0, 16)):  # broadcast and shuffle; one slice and many
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "STEP", step)
+        got = decontaminate.matches(d, bench).collect()
+        assert {(r.doc_id, r.item_id): (r.start_shingle, r.similarity) for r in got} == want and len(got) == len(want)
+        assert decontaminate.decontaminate(d, bench).count() == sum(1 for i, _ in rows if i not in {x for x, _ in want})
+
+
+def test_simhash_of_long_arrays(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(2**63), 2**63 - 1, 200, dtype=np.int64)
+    x = np.concatenate([np.repeat(x[:1], 70_000), x])  # one bit pattern, more often than 16 bits count
+    got = decontaminate.with_simhash(spark.createDataFrame([(x.tolist(), len(x))], "sh array<long>, n int"), "sh", "n", "fp").first().fp
+    bits = ((x.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0)
+    want = sum(1 << b for b in range(64) if 2 * int(bits[b]) > len(x))
+    assert got % 2**64 == want
+
+
+def recall(spark, x, **options):
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(e, e.where("vec_id % 50 = 0"), **options).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = asked = 0
+    for q in range(0, len(x), 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s, kind="stable")[:5]) & {r.vec_id for r in got if r.query_id == q})
+        asked += 5
+    return hits / asked
+
+
+def test_recall_flat_and_clustered(spark):
+    rng = np.random.default_rng(2)
+    flat = rng.normal(size=(6000, 64))
+    assert recall(spark, flat, least_rows=0) >= 0.9
+    clustered = rng.normal(size=(60, 64)).repeat(100, axis=0) + 0.2 * flat
+    assert recall(spark, clustered, least_rows=0, visit=0.08) >= 0.9
+
+
+def test_neighbours_of_few_rows_and_large_cells(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4, 7):
+        x = rng.normal(size=(n, 8))
+        e = spark.createDataFrame([(50 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.search(e, e, least_rows=0).collect()
+        assert len(got) == n * min(5, n - 1)
+    # one cell holds a third of the rows; its parts are several postings
+    x = rng.normal(size=(900, 8))
+    x[:300] = x[0] + 1e-6 * rng.normal(size=(300, 8))
+    assert recall(spark, x, posting_rows=32) == 1.0
+    counts = np.array([[5, 300], [0, 40]])
+    first, parts = ann.postings(counts, 32)
+    assert parts.tolist() == [1, 10, 1, 2] and first[0] < first[1] and first[2] >= first[1] + 10 and first[3] > first[2] - 1
