@@ -651,3 +651,29 @@ def test_neighbours_of_few_rows_and_large_cells(spark):
     counts = np.array([[5, 300], [0, 40]])
     first, parts = ann.postings(counts, 32)
     assert parts.tolist() == [1, 10, 1, 2] and first[0] < first[1] and first[2] >= first[1] + 10 and first[3] > first[2] - 1
+
+
+def test_neighbours_across_partition_edges(spark):
+    rng = random.Random(51)
+    keys = [1] * 40 + [2, 3, 3, 4] + [5] * 25 + [rng.randrange(6, 30) for _ in range(60)]
+    rows = [(k, rng.randrange(1000), i) for i, k in enumerate(keys)]
+    want = sorted((c, at) for k, c, at in rows if keys.count(k) > 1)
+    for parts in (1, 2, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            got = repeats.agreeing(spark.createDataFrame(rows, "key long, c long, at long"), "t").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert sorted(map(tuple, got)) == want
+    assert repeats.agreeing(spark.createDataFrame([], "key long, c long, at long"), "t").count() == 0
+
+
+def test_repeated_passages_of_null_ids(spark):
+    rng = random.Random(52)
+    shared = words(rng, 55)
+    rows = [(None, f"{words(rng, 30)} {shared}"), (None, f"{shared} {words(rng, 30)}"), (None, words(rng, 80)), (None, None), (7, ""), (7, f"{words(rng, 10)} {shared}"), (7, words(rng, 70)), (8, f"{shared} {words(rng, 9)} {shared}")]
+    got = repeats.repeated_passages(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    view = sorted((r.doc_id or 0, r.n_words, [(x.start, x.stop) for x in r.spans]) for r in got)
+    assert view == sorted([(0, 85, [(30, 85)]), (0, 85, [(0, 55)]), (0, 80, []), (0, 0, []), (7, 0, []), (7, 65, [(10, 65)]), (7, 70, []), (8, 119, [(0, 55), (64, 119)])])
