@@ -677,3 +677,35 @@ def test_repeated_passages_of_null_ids(spark):
     got = repeats.repeated_passages(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
     view = sorted((r.doc_id or 0, r.n_words, [(x.start, x.stop) for x in r.spans]) for r in got)
     assert view == sorted([(0, 85, [(30, 85)]), (0, 85, [(0, 55)]), (0, 80, []), (0, 0, []), (7, 0, []), (7, 65, [(10, 65)]), (7, 70, []), (8, 119, [(0, 55), (64, 119)])])
+
+
+def brute_lines(rows):
+    cut = [(i, (t or "").split("\n")) for i, t in rows]
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    held = {}
+    for i, ls in cut:
+        for x in ls:
+            if i is not None and len(key(x)) >= 20:
+                held.setdefault(key(x), set()).add(i)
+    out = []
+    for i, ls in cut:
+        keep = [x for x in ls if i is None or len(held.get(key(x), ())) < 3 or i == max(held[key(x)])]
+        out.append((-1 if i is None else i, "\n".join(keep), len(ls), len(ls) - len(keep)))
+    return sorted(out)
+
+
+def test_line_dedup_hot_and_long(spark):
+    rng = random.Random(61)
+    common = [f"common line number {i:03d} of all" for i in range(12)]
+    rows = [(i, "\n".join(rng.choice([rng.choice(common), common[0], words(rng, 5), f"\t{common[1].upper()} "]) for _ in range(rng.randrange(1, 9)))) for i in range(120)]
+    rows += [(500, "\n".join(f"{words(rng, 6)}\n{common[3]}" for _ in range(8000))), (None, common[0]), rows[7], (7, common[0]), (8, None)]
+    for hot in (20_000, 5):  # whole keys, and hot ones dealt over parts
+        got = line_dedup.line_dedup(docs(spark, [(i, t, "en", "s") for i, t in rows]), batches=5, fanout=2, hot=hot)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in got.collect()) == brute_lines(rows)
+
+
+def test_runs_are_joined_as_they_lie(spark):
+    with line_dedup.sorted_scans(spark):
+        a, b = (line_dedup.bucketed(spark.range(500).selectExpr(f"id * {k} as h1", "id as h2", "id as owner", "1L as docs")) for k in (2, 3))
+        plan = b.join(a.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan and "SortMergeJoin" in plan
