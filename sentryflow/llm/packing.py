@@ -11,11 +11,19 @@ filled.
 A packed row has its ids, cumulative segment lengths (``cu_seqlens``, from 0),
 position ids that restart at 0 with each segment, and per segment the doc_id and
 the offset of the piece within its document, from which documents are restored
-without loss.  ``write_matrix`` writes the same as flat binary files.
+without loss.  ``write_packed`` writes them as flat binary files where the texts
+are read, and ``read_matrix`` reads the files back as rows.
+
+Files of a shard, little-endian, below a shared folder: ``ids-*.bin`` (uint32 matrix
+of ``length`` columns, padded), ``pos-*.bin`` (uint32 matrix of position ids, 0 in the
+padding), ``cu-*.bin`` (int64: for each row its number of segments, then its
+cumulative lengths from 0) and ``seg-*.bin`` (int64: for each segment 1 if it has a doc_id, the
+doc_id or 0, and the offset).  A file is written under a name of its own and moved in place when whole,
+so a task that is run again replaces its own files.
 
 Defined cases: a null or empty text has no ids and no segment; a null doc_id is
-carried as null; repeated rows are packed as often as they occur; an empty table
-gives no rows.
+carried as null; repeated rows are packed as often as they occur; a very long text is cut
+into pieces, none lost; only the id and text columns are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sentryflow.staging import new_path, spread
+from sentryflow.staging import new_path, spread, staged
 
 LENGTH = 2048
 BLOCK_TOKENS = 1 << 22
@@ -125,53 +133,66 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
 SCHEMA = "shard int, row_no long, n_tokens int, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, position_ids array<int>, ids array<int>"
 
 
+def _blocks(batches, tok: Tokenizer, length: int, block_tokens: int):
+    """Blocks of packed rows, each row a list of (doc_id, offset, ids)."""
+    pieces: list[tuple[int | None, int, np.ndarray]] = []
+    held = 0
+    for b in batches:
+        for doc, text in zip(b.column(0), b.column(1)):
+            ids = tok.encode(text.as_py() or "")
+            doc = doc.as_py()
+            pieces += [(doc, lo, ids[lo : lo + length]) for lo in range(0, len(ids), length)]
+            held += len(ids)
+            if held >= block_tokens:
+                yield [[pieces[i] for i in row] for row in best_fit_decreasing([len(p[2]) for p in pieces], length)]
+                pieces, held = [], 0
+    if pieces:
+        yield [[pieces[i] for i in row] for row in best_fit_decreasing([len(p[2]) for p in pieces], length)]
+
+
 def _pack(length: int, block_tokens: int, path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        shard, made, tok = TaskContext.get().partitionId(), 0, Tokenizer(path)
-        pieces: list[tuple[int | None, int, np.ndarray]] = []
-        held = 0
-        for b in batches:
-            for doc, text in zip(b.column(0), b.column(1)):
-                ids = tok.encode(text.as_py() or "")
-                doc = doc.as_py()
-                pieces += [(doc, lo, ids[lo : lo + length]) for lo in range(0, len(ids), length)]
-                held += len(ids)
-                if held >= block_tokens:
-                    for out in _rows(pieces, length, shard, made):
-                        made += out.num_rows
-                        yield out
-                    pieces, held = [], 0
-        for out in _rows(pieces, length, shard, made):
-            yield out
+        shard, made = TaskContext.get().partitionId(), 0
+        for rows in _blocks(batches, Tokenizer(path), length, block_tokens):
+            for lo in range(0, len(rows), 256):
+                part = rows[lo : lo + 256]
+                sizes = [np.array([len(s[2]) for s in row]) for row in part]
+                yield _batch(
+                    shard,
+                    made,
+                    np.concatenate([np.concatenate(([0], np.cumsum(n))) for n in sizes]),
+                    np.array([len(n) for n in sizes]),
+                    [[s[0] for s in row] for row in part],
+                    [[s[1] for s in row] for row in part],
+                    np.concatenate([np.arange(n) for row in sizes for n in row]),
+                    np.concatenate([s[2] for row in part for s in row]),
+                )
+                made += len(part)
 
     return run
 
 
-def _rows(pieces, length: int, shard: int, made: int, at_once: int = 256):
-    rows = best_fit_decreasing([len(p[2]) for p in pieces], length)
-    for lo in range(0, len(rows), at_once):
-        part = rows[lo : lo + at_once]
-        segs = [[pieces[i] for i in row] for row in part]
-        sizes = [[len(s[2]) for s in row] for row in segs]
-        total = np.array([sum(s) for s in sizes])
-        ids = np.concatenate([s[2] for row in segs for s in row]).astype(np.int32)
-        pos = np.concatenate([np.arange(n, dtype=np.int32) for row in sizes for n in row])
-        ends = pa.array(np.concatenate(([0], np.cumsum(total))), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(part), shard, np.int32)),
-                pa.array(np.arange(made + lo, made + lo + len(part), dtype=np.int64)),
-                pa.array(total, pa.int32()),
-                pa.array([[s[0] for s in row] for row in segs], pa.list_(pa.int64())),
-                pa.array([[s[1] for s in row] for row in segs], pa.list_(pa.int64())),
-                pa.array([np.concatenate(([0], np.cumsum(s))).tolist() for s in sizes], pa.list_(pa.int32())),
-                pa.ListArray.from_arrays(ends, pa.array(pos)),
-                pa.ListArray.from_arrays(ends, pa.array(ids)),
-            ],
-            names=["shard", "row_no", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", "position_ids", "ids"],
-        )
+def _batch(shard: int, first: int, cu, segments, doc_ids, offsets, pos, ids) -> pa.RecordBatch:
+    """A batch of packed rows; ``cu`` and ``segments`` give where rows and segments end in ``pos`` and ``ids``."""
+    cu_at = np.concatenate(([0], np.cumsum(segments + 1)))
+    total = cu[cu_at[1:] - 1]
+    ends = pa.array(np.concatenate(([0], np.cumsum(total))), pa.int32())
+    n = len(segments)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(n, shard, np.int32)),
+            pa.array(np.arange(first, first + n, dtype=np.int64)),
+            pa.array(total, pa.int32()),
+            pa.array(doc_ids, pa.list_(pa.int64())) if isinstance(doc_ids, list) else doc_ids,
+            pa.array(offsets, pa.list_(pa.int64())) if isinstance(offsets, list) else offsets,
+            pa.ListArray.from_arrays(pa.array(cu_at, pa.int32()), pa.array(cu, pa.int32())),
+            pa.ListArray.from_arrays(ends, pa.array(pos, pa.int32())),
+            pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())),
+        ],
+        names=["shard", "row_no", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", "position_ids", "ids"],
+    )
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -180,15 +201,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, len
     return spread(base).mapInArrow(_pack(length, block_tokens, vocabulary), SCHEMA)
 
 
-def write_matrix(packed: DataFrame, path: str | None = None, *, length: int = LENGTH, pad: int = 0) -> DataFrame:
-    """Write packed rows as flat little-endian files below ``path`` (a shared folder) and return their manifest.
+MANIFEST = "shard long, rows long, tokens long, length long, folder string"
+_PARTS = ("ids", "pos", "cu", "seg")
 
-    Per partition: ``ids-*.bin`` (uint32 matrix of ``length`` columns, padded),
-    ``cu-*.bin`` (uint32: for each row the number of segments, then its
-    cumulative lengths) and ``pos-*.bin`` (uint32 matrix; padding has position
-    0).  A file is written under a name of its own and moved in place when whole.
-    """
-    path = path or new_path(packed.sparkSession, "matrix")
+
+def write_packed(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, pad: int = 0, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Pack ``docs`` and write the rows as binary files below ``path`` (a shared folder).  Returns the manifest, a row a shard."""
+    path = path or new_path(docs.sparkSession, "matrix")
 
     def run(batches):
         import uuid
@@ -197,23 +216,71 @@ def write_matrix(packed: DataFrame, path: str | None = None, *, length: int = LE
 
         from sentryflow.llm.files import open_dir
 
-        fs, root = open_dir(path)
-        shard, rows, own = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
-        names = {k: f"{root}/{k}-{shard:05d}.bin" for k in ("ids", "cu", "pos")}
-        files = {k: fs.open_output_stream(f"{v}.{own}") for k, v in names.items()}
+        shard, rows, tokens, own, files = TaskContext.get().partitionId(), 0, 0, uuid.uuid4().hex, None
+        fs = root = None
+        for block in _blocks(batches, Tokenizer(vocabulary), length, block_tokens):
+            if files is None:
+                fs, root = open_dir(path)
+                files = {k: fs.open_output_stream(f"{root}/{k}-{shard:05d}.bin.{own}") for k in _PARTS}
+            for lo in range(0, len(block), 256):
+                part = block[lo : lo + 256]
+                ids, pos = np.full((len(part), length), pad, "<u4"), np.zeros((len(part), length), "<u4")
+                for r, row in enumerate(part):
+                    at = 0
+                    for _, _, piece in row:
+                        ids[r, at : at + len(piece)] = piece
+                        pos[r, at : at + len(piece)] = np.arange(len(piece))
+                        at += len(piece)
+                    tokens += at
+                files["ids"].write(ids.tobytes())
+                files["pos"].write(pos.tobytes())
+                files["cu"].write(np.concatenate([x for row in part for x in ([len(row), 0], np.cumsum([len(s[2]) for s in row]))]).astype("<i8").tobytes())
+                files["seg"].write(np.array([(s[0] is not None, s[0] or 0, s[1]) for row in part for s in row], "<i8").tobytes())
+                rows += len(part)
+        if files is not None:
+            for k, f in files.items():
+                f.close()
+                fs.move(f"{root}/{k}-{shard:05d}.bin.{own}", f"{root}/{k}-{shard:05d}.bin")
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "rows": rows, "tokens": tokens, "length": length, "folder": path}])
+
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return staged(spread(base).mapInArrow(run, MANIFEST), "matrix_manifest")
+
+
+def read_matrix(manifest: DataFrame) -> DataFrame:
+    """The packed rows of the shards of a manifest, read from their files 256 at a time."""
+
+    def run(batches):
+        from sentryflow.llm.files import open_dir
+
         for b in batches:
-            for cu, pos, ids in zip(*(b.column(n) for n in ("cu_seqlens", "position_ids", "ids"))):
-                for k, v, fill in (("ids", ids, pad), ("pos", pos, 0)):
-                    line = np.full(length, fill, "<u4")
-                    v = v.values.to_numpy()
-                    line[: len(v)] = v
-                    files[k].write(line.tobytes())
-                cu = cu.values.to_numpy().astype("<u4")
-                files["cu"].write(np.uint32(len(cu) - 1).tobytes() + cu.tobytes())
-                rows += 1
-        for k, f in files.items():
-            f.close()
-            fs.move(f"{names[k]}.{own}", names[k])
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "rows": rows, "ids_path": names["ids"], "cu_path": names["cu"], "pos_path": names["pos"]}])
-
-    return packed.mapInArrow(run, "shard long, rows long, ids_path string, cu_path string, pos_path string")
+            for m in b.to_pylist():
+                fs, root = open_dir(m["folder"], create=False)
+                width, made = m["length"], 0
+                ids_f, pos_f, cu_f, seg_f = (fs.open_input_stream(f"{root}/{k}-{m['shard']:05d}.bin", compression=None, buffer_size=1 << 20) for k in _PARTS)
+                while made < m["rows"]:
+                    n = min(256, m["rows"] - made)
+                    ids = np.frombuffer(ids_f.read(4 * n * width), "<u4").reshape(n, width)
+                    pos = np.frombuffer(pos_f.read(4 * n * width), "<u4").reshape(n, width)
+                    segments, cu = np.empty(n, np.int64), []
+                    for r in range(n):
+                        (segments[r],) = np.frombuffer(cu_f.read(8), "<i8")
+                        cu.append(np.frombuffer(cu_f.read(8 * int(segments[r] + 1)), "<i8"))
+                    seg = np.frombuffer(seg_f.read(24 * int(segments.sum())), "<i8").reshape(-1, 3)
+                    ends = pa.array(np.concatenate(([0], np.cumsum(segments))), pa.int32())
+                    used = np.arange(width) < np.array([c[-1] for c in cu])[:, None]
+                    yield _batch(
+                        m["shard"],
+                        made,
+                        np.concatenate(cu),
+                        segments,
+                        pa.ListArray.from_arrays(ends, pa.array(seg[:, 1], mask=seg[:, 0] == 0)),
+                        pa.ListArray.from_arrays(ends, pa.array(seg[:, 2])),
+                        pos[used].astype(np.int32),
+                        ids[used].astype(np.int32),
+                    )
+                    made += n
+                for f in (ids_f, pos_f, cu_f, seg_f):
+                    f.close()
+
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, SCHEMA)

@@ -14,7 +14,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.read_matrix(packing.write_packed(table(spark, sf_dir, "documents")))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,21 +157,29 @@ def test_decontaminate(spark):
 
 
 def test_packing_round_trip(spark, corpus):
-    rows = [(i, t) for i, t in corpus if i is not None and i < 200] + [(300, "tail \n two  spaces "), (301, "Ünïcode, числа ½² 12 don't\x1c x"), (302, None)]
+    rows = corpus + [(300, "tail \n two  spaces "), (301, "Ünïcode, числа ½² 12 don't\x1c x"), (302, None), (303, "x" * 5000), (None, "second without id")]
     tok = packing.Tokenizer()
     for _, t in rows:
         assert tok.encode(t or "").tolist() == tok.encoding.encode_ordinary(t or "")
-    packed = packing.pack(docs(spark, [(i, t, "en", "s") for i, t in rows]), length=128, block_tokens=4000).collect()
-    parts = {}
-    for r in packed:
-        assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens == len(r.ids) <= 128
-        for d, off, a, z in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
-            assert r.position_ids[a:z] == list(range(z - a))
-            parts.setdefault(d, {})[off] = r.ids[a:z]
-    for i, t in rows:
-        ids = [x for off in sorted(parts.get(i, {})) for x in parts[i][off]]
-        assert tok.decode(ids) == (t or "")
-    assert packing.pack(docs(spark, [(1, "a", None, None)]).limit(0)).count() == 0
+    d = docs(spark, [(i, t, "en", "s") for i, t in rows])
+    for packed in (packing.pack(d, length=128, block_tokens=4000).collect(), packing.read_matrix(packing.write_packed(d, length=128, block_tokens=4000)).collect()):
+        parts, whole = {}, []
+        for r in packed:
+            assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens == len(r.ids) <= 128
+            for d_id, off, a, z in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
+                assert r.position_ids[a:z] == list(range(z - a))
+                parts.setdefault((d_id, off), []).append(r.ids[a:z])
+            whole += r.ids
+        # every piece of every row, repeated rows and rows without id included
+        want = {}
+        for i, t in rows:
+            ids = tok.encode(t or "").tolist()
+            for lo in range(0, len(ids), 128):
+                want.setdefault((i, lo), []).append(ids[lo : lo + 128])
+        assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
+        assert len({(r.shard, r.row_no) for r in packed}) == len(packed)
+    empty = docs(spark, [(1, "a", None, None)]).limit(0)
+    assert packing.pack(empty).count() == 0 and packing.read_matrix(packing.write_packed(empty)).count() == 0
 
 
 def test_best_fit_is_tightest():
@@ -192,13 +200,14 @@ def test_best_fit_is_tightest():
 
 
 def test_matrix_files(spark, tmp_path):
-    packed = packing.pack(docs(spark, [(i, "one two three " * 20, "en", "s") for i in range(5)]), length=64)
-    from sentryflow.staging import staged
-
-    packed = staged(packed)
-    m = packing.write_matrix(packed, str(tmp_path), length=64).collect()
-    ids = np.concatenate([np.fromfile(r.ids_path, "<u4") for r in m]).reshape(-1, 64)
-    assert len(ids) == packed.count() and ids.sum() == packed.selectExpr("sum(aggregate(ids, 0L, (a, x) -> a + x))").first()[0]
+    manifest = packing.write_packed(docs(spark, [(i, "one two three " * 20, "en", "s") for i in range(5)]), f"file://{tmp_path}/m", length=64)
+    m = manifest.collect()
+    ids = np.concatenate([np.fromfile(f"{tmp_path}/m/ids-{r.shard:05d}.bin", "<u4") for r in m]).reshape(-1, 64)
+    pos = np.concatenate([np.fromfile(f"{tmp_path}/m/pos-{r.shard:05d}.bin", "<u4") for r in m]).reshape(-1, 64)
+    packed = packing.read_matrix(manifest).collect()
+    assert len(ids) == len(packed) == sum(r.rows for r in m) and sum(r.tokens for r in m) == sum(r.n_tokens for r in packed)
+    assert ids.sum() == sum(sum(r.ids) for r in packed) and pos.sum() == sum(sum(r.position_ids) for r in packed)
+    assert sum(r.n_tokens for r in packed) / ids.size > 0.8  # fill rate
 
 
 def test_warc(spark):
