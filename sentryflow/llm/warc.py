@@ -1,7 +1,7 @@
 """WARC archives: writing, normalising to one gzip member a record, and reading by offset.
 
-``write_archives`` writes each partition as one monolithic archive, a single
-gzip stream of all its records.  ``normalise`` inflates such a stream once, in
+``write_archives`` writes each partition as monolithic archives, each a single
+gzip stream of records that is closed at ``ARCHIVE_BYTES``.  ``normalise`` inflates such a stream once, in
 chunks, rewrites every record as a gzip member of its own, and writes a sidecar
 index of (record id, offset, length).  ``read_archives`` opens members by the
 index alone.
@@ -12,23 +12,28 @@ it and carry its payload's digest and length but not the payload.
 
 Defined cases: a null html is the empty payload; a null page_id is always a
 response and is never referred to; rows that repeat both page_id and payload
-are responses like the first; an empty table gives an empty result.
+are responses like the first; a very long html is one record, held in memory alone;
+other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
 import zlib
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, functions as F
 
 from sentryflow.llm.files import open_dir
 from sentryflow.staging import new_path, staged
 
 MIN_BYTES = 100
+#: Compressed size at which an archive is closed and the next one begun.
+ARCHIVE_BYTES = 1 << 30
 _CHUNK = 1 << 20
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, offset long, length long"
 
@@ -99,23 +104,33 @@ def inflate(stream):
         yield out
 
 
-def _writer(path: str):
+def _writer(path: str, archive_bytes: int):
     def run(batches):
         from pyspark import TaskContext
 
         fs, root = open_dir(path)
-        name = f"{root}/{TaskContext.get().partitionId():05d}.warc.gz"
-        temp, n = f"{name}.{uuid.uuid4().hex}", 0
-        z = zlib.compressobj(6, zlib.DEFLATED, 31)
-        with fs.open_output_stream(temp) as f:
-            for b in batches:
-                for page, url, html, digest, size, refers in zip(*(c for c in b.columns)):
-                    payload = (html.as_py() or "").encode("utf-8")
-                    f.write(z.compress(record(page.as_py(), url.as_py(), payload, digest.as_py(), size.as_py(), refers.as_py())))
-                    n += 1
+        part, made, f = TaskContext.get().partitionId(), 0, None
+
+        def close():
             f.write(z.flush())
-        fs.move(temp, name)
-        yield pa.RecordBatch.from_pylist([{"archive": name, "records": n}])
+            f.close()
+            fs.move(temp, name)
+            return pa.RecordBatch.from_pylist([{"archive": name, "records": n}])
+
+        for b in batches:
+            for page, url, html, digest, size, refers in zip(*(c for c in b.columns)):
+                if f is None:
+                    name = f"{root}/{part:05d}-{made:04d}.warc.gz"
+                    temp, n, z = f"{name}.{uuid.uuid4().hex}", 0, zlib.compressobj(6, zlib.DEFLATED, 31)
+                    f = fs.open_output_stream(temp, compression=None)
+                payload = (html.as_py() or "").encode("utf-8")
+                f.write(z.compress(record(page.as_py(), url.as_py(), payload, digest.as_py(), size.as_py(), refers.as_py())))
+                n += 1
+                if f.tell() >= archive_bytes:
+                    yield close()
+                    f, made = None, made + 1
+        if f is not None:
+            yield close()
 
     return run
 
@@ -166,10 +181,8 @@ def _reader(batches):
         for archive in b.column(0).to_pylist():
             fs, name = open_dir(archive, create=False)
             rows = []
-            with fs.open_input_stream(f"{name}.idx", compression=None) as side:
-                index = [json.loads(x) for x in side.read().splitlines()]
-            with fs.open_input_file(name) as f:
-                for _, offset, length in index:
+            with io.BufferedReader(fs.open_input_stream(f"{name}.idx", compression=None), _CHUNK) as side, fs.open_input_file(name) as f:
+                for _, offset, length in map(json.loads, side):
                     r = read_member(f, offset, length)
                     r.pop("body")
                     rows.append(r | {"archive": name.rpartition("/")[2], "offset": offset, "length": length})
@@ -190,30 +203,46 @@ def with_references(pages: DataFrame, *, id_col="page_id", url_col="url", html_c
     """page_id, url, html, digest, size, refers_to."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    first = p.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    refers = F.when((F.col("size") >= min_bytes) & (F.col("first_id") < F.col("page_id")), F.col("first_id"))
-    return p.join(first, "digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "size", refers.alias("refers_to"))
+    # who revisits whom is settled on digests and ids; only rows that repeat a payload are in it
+    keys = staged(p.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).select("digest", "page_id"), "payloads")
+    first = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    revisits = keys.join(first, "digest").where("page_id > first_id").select(F.col("digest").alias("r_digest"), F.col("page_id").alias("r_id"), "first_id").distinct()
+    # a page meets its reference by digest and id, so that a payload that many pages share is dealt over all tasks
+    joined = p.join(revisits, (F.col("digest") == F.col("r_digest")) & (F.col("page_id") == F.col("r_id")), "left")
+    return joined.select("page_id", "url", F.when(F.col("first_id").isNull(), F.col("html")).alias("html"), "digest", "size", F.col("first_id").alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
+def write_archives(pages: DataFrame, path: str | None = None, *, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:
     """Monolithic archives below ``path``; returns their manifest (archive, records)."""
     path = path or new_path(pages.sparkSession, "warc")
     rows = with_references(pages, **columns)
-    return staged(rows.mapInArrow(_writer(path), "archive string, records long"), "warc_manifest")
+    return staged(rows.mapInArrow(_writer(path, archive_bytes), "archive string, records long"), "warc_manifest")
+
+
+def one_each(manifest: DataFrame) -> DataFrame:
+    """An archive a task: dealt in turn, not by hash."""
+    return manifest.select("archive").repartition(max(1, manifest.count()))
 
 
 def normalise(manifest: DataFrame, path: str | None = None) -> DataFrame:
-    """One member a record, with a sidecar index ``*.idx``; the monolithic archives are deleted."""
+    """One member a record, with a sidecar index ``*.idx``; the monolithic archives are deleted, with what lost tasks left beside them."""
     path = path or new_path(manifest.sparkSession, "warc_members")
-    one_each = manifest.select("archive").repartition(max(1, manifest.count()), "archive")
-    members = staged(one_each.mapInArrow(_normaliser(path), "archive string, records long, bytes long"), "member_manifest")
+    members = staged(one_each(manifest).mapInArrow(_normaliser(path), "archive string, records long, bytes long"), "member_manifest")
     # only now, when no lost task can need them again
-    for row in manifest.select("archive").toLocalIterator():
+    if (row := manifest.select("archive").first()) is not None:
         fs, name = open_dir(row[0], create=False)
-        fs.delete_file(name)
+        fs.delete_dir(name.rpartition("/")[0])
+        remove_unfinished(path)
     return members
 
 
+def remove_unfinished(path: str) -> None:
+    """Deletes files that a lost task did not move in place."""
+    fs, root = open_dir(path, create=False)
+    for f in fs.get_file_info(FileSelector(root)):
+        if not f.base_name.endswith((".warc.gz", ".idx")):
+            fs.delete_file(f.path)
+
+
 def read_archives(manifest: DataFrame) -> DataFrame:
-    one_each = manifest.select("archive").repartition(max(1, manifest.count()), "archive")
-    return one_each.mapInArrow(_reader, READ_SCHEMA)
+    return one_each(manifest).mapInArrow(_reader, READ_SCHEMA)
