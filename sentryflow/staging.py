@@ -14,18 +14,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FOLDER = "sentryflow"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The cluster's shared folder; one of our own only where none is set and all tasks run on this machine (tests)."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sentryflow-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sentryflow/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{FOLDER}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -36,22 +41,22 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, for tables of whole texts; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table of fewer partitions than cores over all cores; larger tables are left as they are read."""
-    bound_batches(df.sparkSession)
+    """Deal a table of fewer partitions than cores over all cores; larger tables are left as they are read.
+
+    Arrow batches of texts are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless the session says otherwise).
+    """
     want = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() < want:
         return df.repartition(want)
     return df
 
 
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all tables staged by this application's folder, when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{FOLDER}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
