@@ -14,12 +14,12 @@ the offset of the piece within its document, from which documents are restored
 without loss.  ``write_packed`` writes them as flat binary files where the texts
 are read, and ``read_matrix`` reads the files back as rows.
 
-Files of a shard, little-endian, below a shared folder: ``ids-*.bin`` (uint32 matrix
-of ``length`` columns, padded), ``pos-*.bin`` (uint32 matrix of position ids, 0 in the
-padding), ``cu-*.bin`` (int64: for each row its number of segments, then its
-cumulative lengths from 0) and ``seg-*.bin`` (int64: for each segment 1 if it has a doc_id, the
-doc_id or 0, and the offset).  A file is written under a name of its own and moved in place when whole,
-so a task that is run again replaces its own files.
+Files of a shard, little-endian, below a shared folder: ``ids-*.bin`` (matrix of
+``length`` columns, padded; uint16 if the vocabulary fits, else uint32), ``rows-*.bin`` (int32: segments of each
+row), ``cu-*.bin`` (int32: each row's cumulative lengths, from 0), ``reset-*.bin`` (int32: the column where
+each segment begins and position ids start again at 0) and ``seg-*.bin`` (int64: for each segment 1 if it
+has a doc_id, the doc_id or 0, and the offset).  A file is written under a name of its own and moved in place
+when whole, so a task that is run again replaces its own files.
 
 Defined cases: a null or empty text has no ids and no segment; a null doc_id is
 carried as null; repeated rows are packed as often as they occur; a very long text is cut
@@ -39,6 +39,8 @@ from sentryflow.staging import new_path, spread, staged
 
 LENGTH = 2048
 BLOCK_TOKENS = 1 << 22
+#: Packed rows made or read at once.
+_ROWS = 256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -156,8 +158,8 @@ def _pack(length: int, block_tokens: int, path: str):
 
         shard, made = TaskContext.get().partitionId(), 0
         for rows in _blocks(batches, Tokenizer(path), length, block_tokens):
-            for lo in range(0, len(rows), 256):
-                part = rows[lo : lo + 256]
+            for lo in range(0, len(rows), _ROWS):
+                part = rows[lo : lo + _ROWS]
                 sizes = [np.array([len(s[2]) for s in row]) for row in part]
                 yield _batch(
                     shard,
@@ -201,8 +203,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, len
     return spread(base).mapInArrow(_pack(length, block_tokens, vocabulary), SCHEMA)
 
 
-MANIFEST = "shard long, rows long, tokens long, length long, folder string"
-_PARTS = ("ids", "pos", "cu", "seg")
+MANIFEST = "shard long, rows long, tokens long, length long, id_bytes long, folder string"
+_PARTS = ("ids", "rows", "cu", "reset", "seg")
 
 
 def write_packed(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, pad: int = 0, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -218,37 +220,34 @@ def write_packed(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
         shard, rows, tokens, own, files = TaskContext.get().partitionId(), 0, 0, uuid.uuid4().hex, None
         fs = root = None
-        for block in _blocks(batches, Tokenizer(vocabulary), length, block_tokens):
+        tok = Tokenizer(vocabulary)
+        filler = np.full(length, pad, tok.dtype)
+        for block in _blocks(batches, tok, length, block_tokens):
             if files is None:
                 fs, root = open_dir(path)
-                files = {k: fs.open_output_stream(f"{root}/{k}-{shard:05d}.bin.{own}") for k in _PARTS}
-            for lo in range(0, len(block), 256):
-                part = block[lo : lo + 256]
-                ids, pos = np.full((len(part), length), pad, "<u4"), np.zeros((len(part), length), "<u4")
-                for r, row in enumerate(part):
-                    at = 0
-                    for _, _, piece in row:
-                        ids[r, at : at + len(piece)] = piece
-                        pos[r, at : at + len(piece)] = np.arange(len(piece))
-                        at += len(piece)
-                    tokens += at
-                files["ids"].write(ids.tobytes())
-                files["pos"].write(pos.tobytes())
-                files["cu"].write(np.concatenate([x for row in part for x in ([len(row), 0], np.cumsum([len(s[2]) for s in row]))]).astype("<i8").tobytes())
+                files = {k: fs.open_output_stream(f"{root}/{k}-{shard:05d}.bin.{own}", buffer_size=1 << 20) for k in _PARTS}
+            for lo in range(0, len(block), _ROWS):
+                part = block[lo : lo + _ROWS]
+                cu = [np.cumsum([0, *(len(s[2]) for s in row)]) for row in part]
+                tokens += sum(int(c[-1]) for c in cu)
+                files["ids"].write(np.concatenate([x for row, c in zip(part, cu) for x in (*(s[2] for s in row), filler[c[-1] :])]).tobytes())
+                files["rows"].write(np.array([len(row) for row in part], "<i4").tobytes())
+                files["cu"].write(np.concatenate(cu).astype("<i4").tobytes())
+                files["reset"].write(np.concatenate([c[:-1] for c in cu]).astype("<i4").tobytes())
                 files["seg"].write(np.array([(s[0] is not None, s[0] or 0, s[1]) for row in part for s in row], "<i8").tobytes())
                 rows += len(part)
         if files is not None:
             for k, f in files.items():
                 f.close()
                 fs.move(f"{root}/{k}-{shard:05d}.bin.{own}", f"{root}/{k}-{shard:05d}.bin")
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "rows": rows, "tokens": tokens, "length": length, "folder": path}])
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "rows": rows, "tokens": tokens, "length": length, "id_bytes": tok.dtype.itemsize, "folder": path}])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return staged(spread(base).mapInArrow(run, MANIFEST), "matrix_manifest")
 
 
 def read_matrix(manifest: DataFrame) -> DataFrame:
-    """The packed rows of the shards of a manifest, read from their files 256 at a time."""
+    """The packed rows of the shards of a manifest, read from their files in parts."""
 
     def run(batches):
         from sentryflow.llm.files import open_dir
@@ -256,31 +255,30 @@ def read_matrix(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for m in b.to_pylist():
                 fs, root = open_dir(m["folder"], create=False)
-                width, made = m["length"], 0
-                ids_f, pos_f, cu_f, seg_f = (fs.open_input_stream(f"{root}/{k}-{m['shard']:05d}.bin", compression=None, buffer_size=1 << 20) for k in _PARTS)
+                width, made, dtype = m["length"], 0, f"<u{m['id_bytes']}"
+                files = {k: fs.open_input_stream(f"{root}/{k}-{m['shard']:05d}.bin", compression=None, buffer_size=1 << 20) for k in _PARTS}
+                take = lambda k, n, dtype: np.frombuffer(files[k].read(n * np.dtype(dtype).itemsize), dtype)  # noqa: B023, E731
                 while made < m["rows"]:
-                    n = min(256, m["rows"] - made)
-                    ids = np.frombuffer(ids_f.read(4 * n * width), "<u4").reshape(n, width)
-                    pos = np.frombuffer(pos_f.read(4 * n * width), "<u4").reshape(n, width)
-                    segments, cu = np.empty(n, np.int64), []
-                    for r in range(n):
-                        (segments[r],) = np.frombuffer(cu_f.read(8), "<i8")
-                        cu.append(np.frombuffer(cu_f.read(8 * int(segments[r] + 1)), "<i8"))
-                    seg = np.frombuffer(seg_f.read(24 * int(segments.sum())), "<i8").reshape(-1, 3)
+                    n = min(_ROWS, m["rows"] - made)
+                    ids, segments = take("ids", n * width, dtype).reshape(n, width), take("rows", n, "<i4").astype(np.int64)
+                    total = int(segments.sum())
+                    cu, reset, seg = take("cu", total + n, "<i4"), take("reset", total, "<i4"), take("seg", 3 * total, "<i8").reshape(-1, 3)
+                    used = cu[np.cumsum(segments + 1) - 1]
+                    begin = reset + np.repeat(np.cumsum(used) - used, segments)
+                    end = np.append(begin[1:], used.sum())
                     ends = pa.array(np.concatenate(([0], np.cumsum(segments))), pa.int32())
-                    used = np.arange(width) < np.array([c[-1] for c in cu])[:, None]
                     yield _batch(
                         m["shard"],
                         made,
-                        np.concatenate(cu),
+                        cu,
                         segments,
                         pa.ListArray.from_arrays(ends, pa.array(seg[:, 1], mask=seg[:, 0] == 0)),
                         pa.ListArray.from_arrays(ends, pa.array(seg[:, 2])),
-                        pos[used].astype(np.int32),
-                        ids[used].astype(np.int32),
+                        np.arange(end[-1], dtype=np.int32) - np.repeat(begin, end - begin).astype(np.int32),
+                        ids[np.arange(width) < used[:, None]].astype(np.int32),
                     )
                     made += n
-                for f in (ids_f, pos_f, cu_f, seg_f):
+                for f in files.values():
                     f.close()
 
     return manifest.repartition(max(1, manifest.count())).mapInArrow(run, SCHEMA)

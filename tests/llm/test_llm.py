@@ -202,11 +202,11 @@ def test_best_fit_is_tightest():
 def test_matrix_files(spark, tmp_path):
     manifest = packing.write_packed(docs(spark, [(i, "one two three " * 20, "en", "s") for i in range(5)]), f"file://{tmp_path}/m", length=64)
     m = manifest.collect()
-    ids = np.concatenate([np.fromfile(f"{tmp_path}/m/ids-{r.shard:05d}.bin", "<u4") for r in m]).reshape(-1, 64)
-    pos = np.concatenate([np.fromfile(f"{tmp_path}/m/pos-{r.shard:05d}.bin", "<u4") for r in m]).reshape(-1, 64)
+    ids = np.concatenate([np.fromfile(f"{tmp_path}/m/ids-{r.shard:05d}.bin", "<u2") for r in m]).reshape(-1, 64)
+    reset = np.concatenate([np.fromfile(f"{tmp_path}/m/reset-{r.shard:05d}.bin", "<i4") for r in m])
     packed = packing.read_matrix(manifest).collect()
     assert len(ids) == len(packed) == sum(r.rows for r in m) and sum(r.tokens for r in m) == sum(r.n_tokens for r in packed)
-    assert ids.sum() == sum(sum(r.ids) for r in packed) and pos.sum() == sum(sum(r.position_ids) for r in packed)
+    assert ids.sum() == sum(sum(r.ids) for r in packed) and reset.tolist() == [x for r in packed for x in r.cu_seqlens[:-1]]
     assert sum(r.n_tokens for r in packed) / ids.size > 0.8  # fill rate
 
 
