@@ -51,7 +51,7 @@ def with_shingles(df: DataFrame, text: str, k: int) -> DataFrame:
     """Adds ``sh``: 64-bit hashes of the k-word shingles in order; empty for fewer words."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     sh = F.when(F.size("__words") < k, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size("__words") - (k - 1)), lambda i: F.xxhash64(F.slice("__words", i, k)))
+        F.transform(F.sequence(F.lit(0), F.size("__words") - k), lambda i: F.xxhash64(*[F.get("__words", i + j) for j in range(k)]))
     )
     return once(once(df, "__words", words), "sh", sh).drop("__words")
 
@@ -132,10 +132,11 @@ def matches(
     near = with_shingles(near, "text", shingle).select(F.col("doc_id").alias("h_id"), F.col("t").alias("h_t"), "sh")
     part = F.slice("sh", F.col("slice") * STEP + 1, F.when(F.col("len") < F.col("n"), F.col("len")).otherwise(F.col("n") + (STEP - 1)))
     parts = found.join(near.hint("merge"), (F.col("t") == F.col("h_t")) & F.col("doc_id").eqNullSafe(F.col("h_id"))).select("doc_id", "t", "n", "len", "slice", "hits", part.alias("sh"))
-    parts = staged(parts.repartition("t", "n", "slice"), "slices")
+    parts = staged(parts, "slices")
     low, high = F.col("slice") * STEP, F.least(F.col("slice") * STEP + (STEP - 1), last)
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(p - F.col("n") + 1, low), F.least(p, high)))))
-    windows = parts.where("len >= n").select("doc_id", "t", "n", "slice", "sh", F.explode(starts).alias("start"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = parts.where("len >= n").repartition(tasks, "t", "n", "slice").select("doc_id", "t", "n", "slice", "sh", F.explode(starts).alias("start"))
     windows = with_simhash(once(windows, "w", F.slice("sh", F.col("start") - low + 1, F.col("n"))).drop("sh", "slice"), "w", "n", "fp")
     slack = radius // BLOCKS
     keys = staged(
