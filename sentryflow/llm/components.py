@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 All state stays in staged tables; the driver reads one row (a count and a hash
-sum) per round.  Hubs are pre-aggregated by ``min`` before the shuffle, and the
-join back to a hub's edges is one that adaptive execution can split.
+sum) per round.  Hubs are pre-aggregated by ``min`` before the shuffle, and a
+hub's edges are dealt over several tasks when they are joined back: nodes of over
+``hub`` edges are at most edges / ``hub``, and their list is broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +13,21 @@ from pyspark.sql import DataFrame, functions as F
 from sentryflow.staging import staged
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: The list of hubs has at most this many rows (of 24 bytes), whatever the input.
+HUBS = 100_000
+
+
+def _with_min(pairs: DataFrame, rows: int, hub: int) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (u, v) with m, the smallest v of its u; and (u, m) alone."""
+    hub = max(hub, -(-rows // HUBS))
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / hub).cast("int").alias("parts"))
+    hubs = F.broadcast(low.where("parts > 1").select(F.col("u").alias("h"), F.col("parts").alias("h_parts")))
+    dealt = pairs.join(hubs, F.col("u") == F.col("h"), "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("h_parts", F.lit(1))).cast("int").alias("part"))
+    each = low.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(each, ["u", "part"]).select("u", "v", "m"), low.select("u", "m")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, hub: int = 1000) -> DataFrame:
     """``edges``: columns a, b (long, any order, repeats and loops allowed).
 
     Returns (node, root) for every node that has an edge to another; root is the
@@ -30,12 +45,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined, _ = _with_min(both, 2 * mark[0], hub)
+        large = joined.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        joined, low = _with_min(large, mark[0], hub)
         small = (
-            large.join(low, "u")
-            .where("v <> m")
+            joined.where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()

@@ -339,8 +339,11 @@ def _classes(base: DataFrame, percent: int, shingle: int, coords: int, matches:
     parts = members.join(joined, F.col("node") == F.col("rep"), "left").select("rep", "comp", "n", F.coalesce("root", "rep").alias("sub"))
     parts = staged(parts, "parts")
     apart = parts.groupBy("comp").agg(F.min("sub").alias("lo"), F.max("sub").alias("hi")).where("lo <> hi").select("comp")
-    links = direct.unionByName(confirmed_links(parts.join(apart, "comp", "left_semi"), sets, percent))
-    roots = connected_components(links).select(F.col("node").alias("rep"), "root")
+    # links between parts join whole parts
+    links = confirmed_links(parts.join(apart, "comp", "left_semi"), sets, percent)
+    sub_of = lambda c: parts.select(F.col("rep").alias(c), F.col("sub").alias(f"{c}_sub"))
+    merged = connected_components(links.join(sub_of("a"), "a").join(sub_of("b"), "b").select(F.col("a_sub").alias("a"), F.col("b_sub").alias("b")))
+    roots = parts.join(merged, F.col("sub") == F.col("node"), "left").select("rep", F.coalesce("root", "sub").alias("root"))
     classes = reps.select("digest", "rep", "rep_doc").join(roots, "rep", "left")
     return sketches.select("doc_id", "t", "n", "digest"), classes.select("digest", "rep_doc", F.coalesce("root", "rep").alias("root"))
 

@@ -747,3 +747,26 @@ def test_warc_long_pages_and_rollover(spark, tmp_path):
     fs, root = open_dir(f"{tmp_path}/m", create=False)
     with fs.open_input_file(f"{root}/{r.archive}") as f:
         assert warc.read_member(f, r.offset, r.length)["body"].decode() == rows[2][2]
+
+
+def test_components_with_hubs(spark):
+    from sentryflow.llm.components import connected_components
+
+    rng = random.Random(81)
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)] + [(5, 5), (None, 3), (7000, 6999), (6999, 7000)]
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for hub in (1000, 4):
+        assert {r.node: r.root for r in connected_components(df, hub=hub).collect()} == {x: find(x) for x in up}
+    assert connected_components(df.limit(0)).count() == 0
