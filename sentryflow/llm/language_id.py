@@ -25,6 +25,7 @@ equal cosines go to the smallest language; columns may have any names, but
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,6 +118,12 @@ class Encoder:
         return self.rows[[self.index[g] for g in grams.tolist()]]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(dim: int) -> Encoder:
+    """One a worker process, whatever its number of tasks."""
+    return Encoder(dim)
+
+
 @dataclass(frozen=True)
 class Profiles:
     languages: list[str]
@@ -170,7 +177,7 @@ def fit(train: DataFrame, *, per_language: int = PER_LANGUAGE, dim: int = DIM, i
     chosen = rows.where(F.col("level") >= F.element_at(floor, F.col("lang"))).select("lang", "text")
 
     def bundle(batches):
-        enc, sums = Encoder(dim), {}
+        enc, sums = encoder(dim), {}
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo in range(0, len(texts), 64):
@@ -199,7 +206,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", carr
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        enc = Encoder(profiles.dim)
+        enc = encoder(profiles.dim)
         for b in batches:
             langs, scores = profiles.predict_all(b.column(1), enc)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
@@ -218,7 +225,7 @@ def written_in(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", l
     at = docs.columns.index(text_col)
 
     def run(batches):
-        enc = Encoder(profiles.dim)
+        enc = encoder(profiles.dim)
         for b in batches:
             texts = pc.struct_field(b.column(0), [at])
             langs, scores = profiles.predict_all(texts, enc)

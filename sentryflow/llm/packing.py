@@ -29,6 +29,7 @@ into pieces, none lost; only the id and text columns are read; an empty table gi
 from __future__ import annotations
 
 import base64
+import functools
 import re
 
 import numpy as np
@@ -82,6 +83,12 @@ class Tokenizer:
         return self.encoding.decode(list(ids))
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer(path: str) -> Tokenizer:
+    """One a worker process, whatever its number of tasks."""
+    return Tokenizer(path)
+
+
 class Rooms:
     """Segment tree over room sizes 0..length; a leaf counts the open rows with that room."""
 
@@ -157,7 +164,7 @@ def _pack(length: int, block_tokens: int, path: str):
         from pyspark import TaskContext
 
         shard, made = TaskContext.get().partitionId(), 0
-        for rows in _blocks(batches, Tokenizer(path), length, block_tokens):
+        for rows in _blocks(batches, tokenizer(path), length, block_tokens):
             for lo in range(0, len(rows), _ROWS):
                 part = rows[lo : lo + _ROWS]
                 sizes = [np.array([len(s[2]) for s in row]) for row in part]
@@ -220,7 +227,7 @@ def write_packed(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
         shard, rows, tokens, own, files = TaskContext.get().partitionId(), 0, 0, uuid.uuid4().hex, None
         fs = root = None
-        tok = Tokenizer(vocabulary)
+        tok = tokenizer(vocabulary)
         filler = np.full(length, pad, tok.dtype)
         for block in _blocks(batches, tok, length, block_tokens):
             if files is None:
