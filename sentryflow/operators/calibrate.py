@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sentryflow.functions.scalars import missing
+from sentryflow.operators.order import value_at
+from sentryflow.operators.stats import quantiles
+
+
+def places_below(x: Column, limits: list[float], all_places: int) -> Column:
+    """How many of the rising limits are less than x; all places for a missing x or no limits."""
+    if not limits:
+        return F.lit(all_places)
+    return F.when(x.isNull(), all_places).otherwise(F.size(F.filter(F.array(*map(F.lit, limits)), lambda t: t < x)))
 
 
 def fast_path_sweep(df: DataFrame, features: list[str], is_benign, min_recall: float, grid=None) -> DataFrame:
     """q, benign_exit, attack_recall for 50 benign quantiles of each feature: one quantile pass and one counting pass."""
     grid = grid or [round(0.50 + 0.01 * i, 2) for i in range(50)]
-    benign = df.where(is_benign)
-    at = benign.agg(*[F.percentile(missing(F.col(f)), F.array(*map(F.lit, grid))).alias(f) for f in features]).first()
-    limits = F.array(*[F.struct(F.lit(q).alias("q"), *[F.lit(at[f][i] if at[f] else None).cast("double").alias(f"t_{f}") for f in features]) for i, q in enumerate(grid)])
-    inside = F.lit(True)
+    at = {r.feature: r.q for r in quantiles(df.where(is_benign), features, grid).collect()}
+    # limits rise with q, so a row is inside from some q on: one place a row, then running sums over at most len(grid) rows
+    first = F.lit(0)
     for f in features:
-        inside = inside & F.coalesce(missing(F.col(f)) <= F.col(f"t_{f}"), F.lit(False))
-    rows = df.select(is_benign.alias("__b"), *features, F.inline(limits))
-    return rows.groupBy("q").agg(
-        F.avg(F.when(F.col("__b"), inside.cast("double"))).alias("benign_exit"), F.avg(F.when(~F.col("__b"), (~inside).cast("double"))).alias("attack_recall")
-    ).withColumn("meets", F.col("attack_recall") >= min_recall)
+        first = F.greatest(first, places_below(missing(F.col(f)), at.get(f) or [], len(grid)))
+    counts = df.groupBy(first.alias("at"), is_benign.alias("b")).agg(F.count("*").alias("n"))
+    wanted = df.sparkSession.createDataFrame([(i, q) for i, q in enumerate(grid)], "i int, q double")
+    inside = F.coalesce(F.sum(F.when(F.col("at") <= F.col("i"), F.col("n"))), F.lit(0))
+    rates = counts.crossJoin(F.broadcast(wanted)).groupBy("q", "b").agg((inside / F.sum("n")).alias("share"))
+    out = rates.groupBy("q").agg(F.max(F.when(F.col("b"), F.col("share"))).alias("benign_exit"), F.max(F.when(~F.col("b"), 1 - F.col("share"))).alias("attack_recall"))
+    return out.withColumn("meets", F.col("attack_recall") >= min_recall)
 
 
 def exit_threshold(df: DataFrame, score: str, is_attack, min_recall: float, points: int = 201) -> DataFrame:
@@ -34,8 +44,7 @@ def exit_threshold(df: DataFrame, score: str, is_attack, min_recall: float, poin
     need = -int(-(min_recall * r.n) // 1)
     lo, hi = r.lo - 1e-6, r.hi + 1e-6
     # the ``need``-th smallest attack score must stay below the threshold
-    below = df.where(is_attack).groupBy(s.alias("s")).count().withColumn("c", F.sum("count").over(Window.orderBy("s")))
-    edge = below.where(F.col("c") >= need).agg(F.min("s")).first()[0] if need else lo
+    edge = value_at(df.where(is_attack), score, need) if need else lo
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
     over = [g for g in grid if edge is None or g > edge]
     next_score = df.where(s > edge).agg(F.min(s)).first()[0] if edge is not None else None
@@ -48,7 +57,11 @@ def exit_threshold(df: DataFrame, score: str, is_attack, min_recall: float, poin
 def confidence_sweep(df: DataFrame, top: str, distance: str, distance_threshold: float, max_rate: float = 0.02) -> DataFrame:
     """confidence, rate for the 189 confidences .05 to .99: share of known rows that would be called unknown."""
     steps = [round(0.05 + 0.005 * i, 3) for i in range(189)]
-    far = F.col(distance) >= distance_threshold
-    # one bucket a row: the first confidence over its top probability; then a running sum over at most 189 rows
-    rows = df.select(F.explode(F.array(*map(F.lit, steps))).alias("confidence"), F.col(top).alias("p"), far.alias("far"))
-    return rows.groupBy("confidence").agg(F.avg(((F.col("p") < F.col("confidence")) & F.col("far")).cast("double")).alias("rate")).withColumn("allowed", F.col("rate") <= max_rate)
+    p, given = F.col(top), F.array(*map(F.lit, steps))
+    # how many steps the top probability reaches: a guess within one place, then exactly; one place a row
+    guess = F.greatest(F.lit(0), F.least(F.lit(185), F.floor((p - 0.05) / 0.005).cast("int") - 1))
+    reached = guess + F.size(F.filter(F.slice(given, guess + 1, 4), lambda t: t <= p))
+    counts = df.groupBy(reached.alias("reached")).agg(F.count("*").alias("n"), F.count_if(F.col(distance) >= distance_threshold).alias("far"))
+    wanted = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(steps)], "i int, confidence double")
+    rates = counts.crossJoin(F.broadcast(wanted)).groupBy("confidence").agg((F.sum(F.when(F.col("reached") <= F.col("i"), F.col("far")).otherwise(0)) / F.sum("n")).alias("rate"))
+    return rates.withColumn("allowed", F.col("rate") <= max_rate)

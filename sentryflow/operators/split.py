@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sentryflow.functions.constants import UNKNOWN
 from sentryflow.functions.scalars import normalize_token, seeded_rank
+from sentryflow.operators.order import running
 from sentryflow.staging import staged
 
 FRACTIONS = (0.70, 0.15)
@@ -42,10 +43,9 @@ def split_random(df: DataFrame, uid: str, label: str, seed=2309, fractions=FRACT
     train = quotas(tv.select(label, "count", "tr", "n"), label, F.col("tr"), F.col("n")).select(label, F.col("quota").alias("q_train"))
     val = quotas(tv.select(label, "count", "va", "n"), label, F.col("va"), F.col("n")).select(label, F.col("quota").alias("q_val"))
     plan = train.join(val, label)
-    w = Window.partitionBy(label).orderBy("__rank", uid)
-    ranked = df.withColumn("__rank", seeded_rank(seed, F.col(uid))).withColumn("__i", F.row_number().over(w))
+    ranked = running(df.withColumn("__rank", seeded_rank(seed, F.col(uid))).withColumn("__one", F.lit(1)), [label], ["__rank", uid], {"__i": "__one"})
     part = F.when(F.col("__i") <= F.col("q_train"), "train").when(F.col("__i") <= F.col("q_train") + F.col("q_val"), "validation").otherwise("test")
-    return ranked.join(plan, label).withColumn("split", part).drop("__rank", "__i", "q_train", "q_val")
+    return ranked.join(plan, label).withColumn("split", part).drop("__rank", "__one", "__i", "q_train", "q_val")
 
 
 def split_device(df: DataFrame, uid: str, device: str, held_out: list[str] | None = None, seed=2309, fractions=FRACTIONS) -> DataFrame:
@@ -77,10 +77,11 @@ def split_time(df: DataFrame, uid: str, ts: str, fractions=FRACTIONS) -> DataFra
 
 
 def split_sequence(df: DataFrame, source: str, index: str, fractions=FRACTIONS) -> DataFrame:
-    w = Window.partitionBy(source)
-    i, n = F.row_number().over(w.orderBy(index)) - 1, F.count("*").over(w)
+    n = df.groupBy(F.col(source).alias("__s")).agg(F.count("*").alias("__n"))
+    placed = running(df.withColumn("__one", F.lit(1)), [source], [index], {"__i": "__one"}).join(n, F.col(source).eqNullSafe(F.col("__s")))
+    i, n = F.col("__i") - 1, F.col("__n")
     part = F.when(i < F.floor(n * fractions[0]), "train").when(i < F.floor(n * fractions[0]) + F.floor(n * fractions[1]), "validation").otherwise("test")
-    return df.withColumn("split", part)
+    return placed.withColumn("split", part).drop("__one", "__i", "__n", "__s")
 
 
 def split_block(df: DataFrame, source: str, index: str, block_size: int = 10_000, seed=2309, fractions=FRACTIONS) -> DataFrame:
@@ -110,3 +111,86 @@ def coverage(expected: DataFrame, actual: DataFrame, key: str, compare: list[str
         F.count_if(F.col("a").isNull()).alias("missing"),
         F.count_if(F.col("a").isNotNull() & F.col("e").isNotNull() & (F.col("a") != F.col("e"))).alias("mismatched"),
     )
+
+
+def split_cross(source: DataFrame, target: DataFrame, uid: str, *, seed=2309, fractions=FRACTIONS) -> DataFrame:
+    """Rows of ``source`` are for training and validation, by hash rank; all rows of ``target`` are the test set."""
+    n = source.count()
+    n_val = int(n * fractions[1] / sum(fractions))
+    ranked = positions(source.withColumn("__rank", seeded_rank(seed, F.col(uid))), "__rank", uid, name="__i")
+    own = ranked.withColumn("split", F.when(F.col("__i") < n - n_val, "train").otherwise("validation")).drop("__i", "__rank")
+    return own.unionByName(target.withColumn("split", F.lit("test")))
+
+
+def source_coverage(df: DataFrame, source: str, parts=("train", "validation", "test")) -> DataFrame:
+    """Rows of each source in each part, and in all."""
+    counts = df.groupBy(source).agg(*[F.count_if(F.col("split") == p).alias(p) for p in parts], F.count("*").alias("rows"))
+    return counts
+
+
+def coverage_differs(coverage: DataFrame, expected: DataFrame, source: str) -> DataFrame:
+    """Sources whose number of rows is not that of ``expected`` (source, rows)."""
+    e = expected.select(F.col(source).alias("__s"), F.col("rows").alias("expected"))
+    return coverage.join(e, F.col(source).eqNullSafe(F.col("__s")), "full_outer").where(~F.col("rows").eqNullSafe(F.col("expected"))).select(F.coalesce(source, "__s").alias(source), "rows", "expected")
+
+
+def members(df: DataFrame, membership: DataFrame, uid: str, part: str | None = None) -> DataFrame:
+    """Rows of ``df`` with the part that ``membership`` (uid, split) gives them, or those of one part."""
+    m = membership.select(F.col(uid).alias("__uid"), "split")
+    if part is not None:
+        return df.join(m.where(F.col("split") == part), F.col(uid) == F.col("__uid"), "left_semi")
+    return df.join(m, F.col(uid) == F.col("__uid")).drop("__uid")
+
+
+def part_counts(df: DataFrame, label: str, device: str) -> DataFrame:
+    """Rows and devices of each label and part."""
+    return df.groupBy(label, "split").agg(F.count("*").alias("rows"), F.count_distinct(device).alias("devices"))
+
+
+def overlap(df: DataFrame, key: str, first: str = "train", second: str = "test") -> DataFrame:
+    """Distinct ``key`` that both parts hold."""
+    return df.groupBy(key).agg(F.max(F.col("split") == first).alias("a"), F.max(F.col("split") == second).alias("b")).where("a and b").select(key)
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how many rows only ``a`` has and only ``b`` has, repeats counted; both 0 for equal sets."""
+    c = list(a.columns)
+    d = a.withColumn("__d", F.lit(1)).unionByName(b.withColumn("__d", F.lit(-1))).groupBy(*c).agg(F.sum("__d").alias("__d"))
+    return d.agg(F.coalesce(F.sum(F.greatest("__d", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("__d"), F.lit(0))), F.lit(0)).alias("only_b"))
+
+
+def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def manifest(df: DataFrame, strategy: str, uid: str, label: str, device: str, *, capped: bool = False, out_of_core: bool = False) -> dict:
+    """Counts of a split and what may be concluded from it; a row in two parts is an error."""
+    if (bad := leaked(df, uid).count()) > 0:
+        raise ValueError(f"{bad} rows are in more than one part")
+    rows = part_counts(df, label, device).collect()
+    by_part = df.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct(device).alias("devices")).collect()
+    ordered = ("time", "device") if out_of_core else ("time", "sequence", "device")
+    out = {
+        "strategy": strategy,
+        "rows": {r.split: r.rows for r in by_part},
+        "devices": {r.split: r.devices for r in by_part},
+        "class_counts": {r.split: {x[label]: x.rows for x in sorted(rows, key=lambda x: str(x[label])) if x.split == r.split} for r in by_part},
+        "device_overlap": [r[0] for r in overlap(df, device).orderBy(device).limit(100).collect()],
+        "unknown_in_train": sum(r.rows for r in rows if r.split == "train" and r[label] == UNKNOWN),
+        "sampling_applied_before_split": capped,
+        "natural_evaluation_distribution": not capped and strategy != "attack",
+        "temporal_continuity": strategy in ordered and not capped,
+    }
+    if not out["temporal_continuity"]:
+        out["temporal_validity_note"] = "The replay is exploratory: this split, or sampling before it, leaves out events in between."
+    return out
+
+
+def batch_plan(df: DataFrame, shard: str, order: list[str], size: int) -> DataFrame:
+    """Adds batch (from 0 within a shard): ``size`` rows each, in order; a last batch of one row is avoided by taking one from the batch before."""
+    placed = running(df.withColumn("__one", F.lit(1)), [shard], order, {"__i": "__one"})
+    n = df.groupBy(F.col(shard).alias("__s")).agg(F.count("*").alias("__n"))
+    placed = placed.join(n, F.col(shard).eqNullSafe(F.col("__s")))
+    lone = (F.col("__n") % size == 1) & (F.col("__n") > 1)
+    batch = F.floor((F.col("__i") - 1) / size) + (lone & (F.col("__i") == F.col("__n") - 1)).cast("long") if size > 2 else F.floor((F.col("__i") - 1) / size)
+    return placed.withColumn("batch", batch.cast("long")).drop("__one", "__i", "__n", "__s")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sentryflow.functions.scalars import feature_cost, missing
+from sentryflow.operators.order import quantile_steps
 
 
 def long_form(df: DataFrame, features: list[str], carry: list[str] = ()) -> DataFrame:
@@ -18,8 +22,46 @@ def finite_counts(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, features: list[str], qs: list[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles of each feature."""
-    return long_form(df, features).groupBy("feature").agg(F.percentile("value", F.array(*map(F.lit, qs))).alias("q"))
+    """feature, q (array): exact linear-interpolation quantiles, from counts by distinct value in ranges."""
+    found = quantile_steps(long_form(df, features), ["feature"], "value", qs)
+    return found.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "x"))), lambda e: e["x"]).alias("q"))
+
+
+def extremes(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row: smallest and largest ``key``, and the smallest, largest and number of distinct values of each column."""
+    each = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("distinct", F.count_distinct))]
+    return df.agg(F.min(key).alias(f"min_{key}"), F.max(key).alias(f"max_{key}"), *each)
+
+
+def exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of rows: 18 digits after the point, rounded to a double at the end."""
+    return F.sum(value.cast("decimal(38,18)")).cast("double")
+
+
+def ordered_digest(values: DataFrame, column: str, prefix: int = 3) -> DataFrame:
+    """n and digest of hexadecimal strings in their order, read as a stream in sorted partitions.
+
+    A leaf is the SHA-256 of the sorted values of one prefix, joined by newlines; the digest is that of the
+    leaves in the order of their prefixes, joined likewise.  So at most 16 ** ``prefix`` leaves meet.
+    """
+    rows = values.select(F.substring(column, 1, prefix).alias("prefix"), F.col(column).alias("h"))
+
+    def run(batches):
+        now, sha, n = None, None, 0
+        for b in batches:
+            for p, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if p != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_pylist([{"prefix": now, "n": n, "leaf": sha.hexdigest()}])
+                    now, sha, n = p, hashlib.sha256(), 0
+                sha.update((("\n" if n else "") + h).encode())
+                n += 1
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([{"prefix": now, "n": n, "leaf": sha.hexdigest()}])
+
+    leaves = rows.where("h is not null").repartition("prefix").sortWithinPartitions("prefix", "h").mapInArrow(run, "prefix string, n long, leaf string")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("prefix", "leaf"))), lambda e: e["leaf"])
+    return leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.concat_ws("\n", ordered), 256).alias("digest"))
 
 
 def class_moments(df: DataFrame, features: list[str], label: str) -> DataFrame:

@@ -6,15 +6,43 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sentryflow.functions import constants as K
 from sentryflow.functions.scalars import missing
-from sentryflow.operators.stats import long_form
+from sentryflow.operators.stats import long_form, quantiles
 
 
 def feature_stats(train: DataFrame, features: list[str]) -> dict[str, dict]:
     """Median, quartiles, mean and sd of each feature over the training rows: one row a feature on the driver."""
-    rows = long_form(train, features).groupBy("feature").agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")
-    )
-    return {r.feature: {"q25": r.q[0], "median": r.q[1], "q75": r.q[2], "mean": r["mean"], "sd": r.sd} for r in rows.collect() if r.q is not None}
+    moments = long_form(train, features).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    rows = quantiles(train, features, [0.25, 0.5, 0.75]).join(moments, "feature")
+    return {r.feature: {"q25": r.q[0], "median": r.q[1], "q75": r.q[2], "mean": r["mean"], "sd": r.sd} for r in rows.collect()}
+
+
+def encoder_thresholds(train: DataFrame, features: list[str], kind: str, bits: int = 3) -> dict[str, list[float]]:
+    """Thresholds of each feature's encoder, from its exact quantiles: ``bits`` for thermometer, 2 ** ``bits`` - 1 for hybrid, the median for sign."""
+    if kind == "none":
+        return {f: [] for f in features}
+    if not 2 <= bits <= 4:
+        raise ValueError("bits must be between 2 and 4")
+    qs = {"sign": [0.5], "thermometer": [i / (bits + 1) for i in range(1, bits + 1)], "hybrid": [i / 2**bits for i in range(1, 2**bits)]}[kind]
+    return {r.feature: list(r.q) for r in quantiles(train, features, qs).collect()}
+
+
+def input_groups(features: list[str], kind: str, bits: int = 3) -> list[int]:
+    """For each encoded column, the place of its feature."""
+    width = bits if kind == "thermometer" else 1
+    return [i for i in range(len(features)) for _ in range(width)]
+
+
+def encoded_of_first(groups: list[int], count: int) -> list[int]:
+    """Places of the encoded columns of the first ``count`` features."""
+    return [at for at, feature in enumerate(groups) if feature < count]
+
+
+def full_probabilities(probs: Column, active: list[str], labels=K.LABELS) -> Column:
+    """Probabilities of ``active`` labels, then unknown, at the places of all labels; others 0; normalised."""
+    at = {label: F.element_at(probs, i + 1) for i, label in enumerate([*active, K.UNKNOWN])}
+    placed = F.array(*[at.get(label, F.lit(0.0)) for label in labels])
+    total = F.greatest(F.aggregate(placed, F.lit(0.0), lambda a, p: a + p), F.lit(1e-12))
+    return F.transform(placed, lambda p: p / total)
 
 
 def scaled(feature: str, s: dict, scaler: str = "robust") -> Column:

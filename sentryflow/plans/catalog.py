@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from sentryflow.functions import constants as K, scalars as S
 from sentryflow.operators import calibrate, metrics, split, stats, temporal, transform, windows
 from sentryflow.plans import views as V
+from sentryflow.sources import inspect, tables
 from sentryflow.staging import table
 
 QUERIES: dict = {}
@@ -82,26 +83,92 @@ def _(spark, d):
 with t as (select cast(unnest([cast(event_id as varchar), event_type, cast(value as varchar), props]) as varchar) as v, unnest(['event_id','event_type','value','props']) as col from events)
 select col as feature, max(case when try_cast(v as double) is not null then 1 else 0 end) = 1 as is_numeric, avg(case when try_cast(v as double) is not null then 1.0 else 0.0 end) >= 0.95 as numeric_time from t group by col""")
 def _(spark, d):
-    cols = ["event_id", "event_type", "value", "props"]
-    t = table(spark, d, "events").select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in cols])))
-    ok = F.expr("try_cast(v as double)").isNotNull()
-    return t.groupBy("feature").agg(F.max(ok).alias("is_numeric"), (F.avg(ok.cast("double")) >= 0.95).alias("numeric_time"))
+    text = table(spark, d, "events").select(*[F.col(c).cast("string") for c in ("event_id", "event_type", "value", "props")])
+    known = tables.numeric_features(text)
+    times = {c: (F.avg(tables.number(F.col(c)).isNotNull().cast("double")) >= tables.NUMERIC_SHARE).alias(c) for c in text.columns}
+    r = text.agg(*times.values()).first()
+    return spark.createDataFrame([(c, c in known, r[c]) for c in text.columns], "feature string, is_numeric boolean, numeric_time boolean")
 
 
-@query("s20_inspect", """
-with x as (select *, case when event_type = 'error' then 'invalid_label' when user_id % 7 = 0 then 'invalid_device' when value > 95 then 'invalid_timestamp' else 'accepted' end as reason from events)
-select reason, count(*) as rows, count(distinct user_id) as devices, min(event_id) as first_row from x group by reason""")
+def inspected_events(spark, d) -> DataFrame:
+    """Events as text rows of which some break each rule."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    rows = e.select(
+        "event_id", (i % 11 != 0).alias("fits"), F.when(i % 7 == 0, "  ").when(F.col("event_type") == "error", "DDoS").when(F.col("event_type") == "signup", "Theft").otherwise("Normal").alias("category"),
+        F.when(i % 13 == 0, F.lit(None)).otherwise(F.concat(F.lit(" dev_"), (F.col("user_id") % 50).cast("string"))).alias("saddr"),
+        F.when(i % 41 == 0, "n/a").when(i % 19 == 0, "Infinity").otherwise(F.col("value").cast("string")).alias("stime"),
+    )
+    return inspect.inspected(rows, "category", "saddr", "stime", fits="fits")
+
+
+_INSPECTED = """x as (select event_id, event_id % 11 <> 0 as fits, case when event_id % 7 = 0 then '  ' when event_type = 'error' then 'DDoS' when event_type = 'signup' then 'Theft' else 'Normal' end as category,
+  case when event_id % 13 = 0 then null else concat('dev_', cast(user_id % 50 as varchar)) end as device, event_id % 41 = 0 as not_time, event_id % 19 = 0 as endless from events),
+share as (select avg((not not_time)::int) >= 0.95 as numeric_time from x),
+y as (select x.*, case when not fits then 'column_count_mismatch' when trim(category) = '' then 'invalid_label' when device is null then 'invalid_device'
+  when numeric_time and (not_time or endless) then 'invalid_timestamp' when not numeric_time then 'unclear' end as reason from x, share)"""
+
+
+@query("s20_inspect", f"with {_INSPECTED} select coalesce(reason, 'accepted') as reason, count(*) as rows from y group by 1")
+def _(spark, d):
+    rows = inspected_events(spark, d)
+    return inspect.reason_counts(rows).withColumn("reason", F.when(F.col("reason") == "", None).otherwise(F.col("reason")))
+
+
+@query("s20_a24_class_devices", f"with {_INSPECTED} select case category when 'DDoS' then 'flood_like' when 'Theft' then 'exfil_like' else 'benign' end as behavior, device, count(*) as rows from y where reason is null group by 1, 2")
+def _(spark, d):
+    return inspect.class_device_counts(inspected_events(spark, d))
+
+
+@query("s20_rejected_samples", f"with {_INSPECTED} select event_id, reason from y where reason is not null order by event_id limit 32")
 def _(spark, d):
-    reason = F.when(F.col("event_type") == "error", "invalid_label").when(F.col("user_id") % 7 == 0, "invalid_device").when(F.col("value") > 95, "invalid_timestamp").otherwise("accepted")
-    return table(spark, d, "events").groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("devices"), F.min("event_id").alias("first_row"))
+    return inspect.rejected_samples(inspected_events(spark, d), ["event_id"]).select("event_id", "reason")
+
+
+@query("s7_feature_union", """
+select event_id, cast(value as double) as value, cast(null as double) as price, 'events' as origin from events union all by name
+select o_orderkey as event_id, cast(null as double) as value, cast(o_totalprice as double) as price, 'orders' as origin from orders""")
+def _(spark, d):
+    a = table(spark, d, "events").select("event_id", F.lit("events").alias("origin"), F.col("value").cast("double"))
+    b = table(spark, d, "orders").select(F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderkey").alias("EVENT_ID"), F.lit("orders").alias("origin"))
+    return inspect.union_features([a, b], ["event_id", "origin"])
+
+
+@query("s9_row_budget", "select count(*) as rows from events")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return inspect.within_budget(e, 100_000_000).agg(F.count("*").alias("rows"))
+
+
+@query("w14_class_cap", """
+with x as (select event_id, event_type, row_number() over (partition by event_type order by sha256('2309' || chr(0) || cast(event_id as varchar)), event_id) as r from events)
+select event_type, count(*) as rows, min(event_id) as first_id, max(event_id) as last_id from x where r <= 700 group by 1""")
+def _(spark, d):
+    c = inspect.capped(table(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", 700)
+    return c.groupBy("event_type").agg(F.count("*").alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query("s19_global_order", f"with {V.SQL_PACKETS}, l as (select ts_s < lag(ts_s) over (order by seq) as late from packets) select count(*) filter (where late) as n_late from l")
+def _(spark, d):
+    return inspect.out_of_order_rows(V.packets(spark, d), "seq", "ts_s")
+
+
+@query("s13_content_ids", "select event_id, sha256(concat_ws(chr(31), 'v' || event_type, 'v' || cast(user_id as varchar))) as content_id from events")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    return e.select("event_id", inspect.content_id(e, ["event_type", "user_id"]).alias("content_id"))
+
+
+@query("b25_redaction", "select distinct 'https://example.org/' || event_type as url from events")
+def _(spark, d):
+    u = table(spark, d, "events").select(F.concat(F.lit("https://user:secret@example.org/"), "event_type", F.lit("?token="), F.col("user_id").cast("string")).alias("raw"))
+    return u.select(S.redact_url(F.col("raw")).alias("url")).distinct()
 
 
 @query("w12_w13_sample_caps", """
 with x as (select *, row_number() over (partition by event_type order by sha256('2309' || chr(0) || cast(event_id as varchar)), event_id) as r from events)
 select event_type, event_id, r from x where r <= 50""")
 def _(spark, d):
-    w = Window.partitionBy("event_type").orderBy(S.seeded_rank(2309, F.col("event_id")), "event_id")
-    return table(spark, d, "events").select("event_type", "event_id", F.row_number().over(w).cast("long").alias("r")).where("r <= 50")
+    return inspect.capped(table(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", 50).select("event_type", "event_id", F.col("r").cast("long").alias("r"))
 
 
 # --- statistics and preprocessing -------------------------------------------
@@ -198,15 +265,13 @@ def _(spark, d):
 
 @query("a1_a2_split_counts", _SPLIT + " select behavior_label, split, count(*) as rows, count(distinct user_id) as devices from sp group by 1, 2")
 def _(spark, d):
-    s = split.split_random(labelled_events(spark, d), "event_id", "behavior_label")
-    return s.groupBy("behavior_label", "split").agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("devices"))
+    return split.part_counts(split.split_random(labelled_events(spark, d), "event_id", "behavior_label"), "behavior_label", "user_id")
 
 
 @query("j4_device_overlap", _SPLIT + " select user_id from sp where split = 'train' intersect select user_id from sp where split = 'test' order by user_id limit 100")
 def _(spark, d):
     s = split.split_random(labelled_events(spark, d), "event_id", "behavior_label")
-    pick = lambda x: s.where(F.col("split") == x).select("user_id").distinct()
-    return pick("train").intersect(pick("test")).orderBy("user_id").limit(100)
+    return split.overlap(s, "user_id").orderBy("user_id").limit(100)
 
 
 @query("j5_row_leakage", _SPLIT + " select count(*) as leaked from (select event_id from sp group by event_id having count(distinct split) > 1)")
@@ -247,12 +312,12 @@ def _(spark, d):
 def _(spark, d):
     a = table(spark, d, "events").select("user_id", "event_type")
     b = table(spark, d, "events").where("value < 50").select("user_id", "event_type")
-    return a.exceptAll(b).agg(F.count("*").alias("only_a")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_b")))
+    return split.difference(a, b)
 
 
 @query("p4_uniqueness", "select o_custkey, count(*) as n from orders group by 1 having count(*) > 1")
 def _(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 1")
+    return split.repeated_keys(table(spark, d, "orders"), "o_custkey")
 
 
 @query("j1_j6_membership", """
@@ -342,12 +407,17 @@ def _(spark, d):
     return replayed(spark, d).select("event_id", *[f"state_{c}" for c in temporal.COUNTERS], r6("risk_score"), "action_level")
 
 
-@query("a25_operational", f"""with recursive {_FOLD}, x as (select f.*, p.prob_benign, p.true_label, greatest(0, least(1, 0.55::double*(1-prob_benign)+0.13::double*sc/15+0.13::double*fl/15+0.10::double*be/15+0.14::double*un/15-0.08::double*bn/15)) as risk from f join predictions p using (event_id)),
+@query("a25_operational", f"""with recursive {_FOLD}, x as (select f.*, p.prob_benign, p.true_label, {_ARGMAX} as pl, greatest(0, least(1, 0.55::double*(1-prob_benign)+0.13::double*sc/15+0.13::double*fl/15+0.10::double*be/15+0.14::double*un/15-0.08::double*bn/15)) as risk from f join predictions p using (event_id)),
 y as (select *, risk >= 0.30 as alert, risk >= 0.44 as mit, true_label <> 'benign' as att from x)
-select count(*) as rows, round(avg(alert::int), 6) as alert_rate, round(avg(mit::int), 6) as mitigation_rate, round(avg(att::int) filter (where alert), 6) as alert_precision, round(avg(alert::int) filter (where att), 6) as alert_recall, round(avg(mit::int) filter (where att), 6) as mitigation_recall, round(avg(alert::int) filter (where not att), 6) as false_alert_rate from y""")
+select count(*) as rows, count(*) filter (where alert) as alerts, count(*) filter (where mit) as mitigations, round(avg(att::int) filter (where mit), 6) as action_precision, round(avg(mit::int) filter (where not att), 6) as benign_disruption_rate,
+  round(1 - avg(alert::int), 6) as reduction_vs_every_row, round(avg(mit::int) filter (where att) * 0.25, 6) as sensitivity_25, round(avg(mit::int) filter (where att) * 0.5, 6) as sensitivity_50, round(avg(mit::int) filter (where att) * 0.75, 6) as sensitivity_75,
+  count(*) filter (where pl <> 'benign') as stateless_alerts, round(1 - count(*) filter (where alert) / nullif(count(*) filter (where pl <> 'benign'), 0), 6) as reduction_vs_stateless, round(avg((pl <> 'benign')::int) filter (where att), 6) as stateless_recall,
+  round(avg(alert::int) filter (where true_label like '%flood%' or true_label like '%beacon%'), 6) as low_rate_recall, round(avg(alert::int), 6) as alert_rate, round(avg(mit::int), 6) as mitigation_rate, round(avg(att::int) filter (where alert), 6) as alert_precision, round(avg(alert::int) filter (where att), 6) as alert_recall, round(avg(mit::int) filter (where att), 6) as mitigation_recall, round(avg(alert::int) filter (where not att), 6) as false_alert_rate from y""")
 def _(spark, d):
-    o = metrics.operational(replayed(spark, d))
-    return o.select("rows", *[r6(c) for c in o.columns[1:]])
+    p = replayed(spark, d).withColumn("pl", S.argmax_label(probs(), V.PROBS))
+    o = metrics.operational(p.withColumn("raw", F.when(F.col("true_label").rlike("flood|beacon"), "slow one").otherwise("other")), pred="pl", raw="raw")
+    counts = {"rows", "alerts", "mitigations", "stateless_alerts"}
+    return o.select(*[F.col(c) if c in counts else r6(c) for c in o.columns])
 
 
 @query("a27_device_hours", f"with {V.SQL_PREDICTIONS}, s as (select greatest((max(ts_s)-min(ts_s))/3600, 1/3600.0::double) as h from predictions group by source_file, device_id) select round(sum(h), 4) as device_hours from s")
@@ -359,23 +429,17 @@ def cascade_input(spark, d) -> DataFrame:
     return V.predictions(spark, d).withColumn("p_tiny", F.col("prob_benign")).withColumn("boolean", F.col("prob_benign") > 0.88)
 
 
-@query("h6_cascade_route")
-def _(spark, d):
-    return temporal.route(cascade_input(spark, d), ["source_file", "device_id"], ["ts_s", "event_id"], "ts_s", threshold=0.5).select("event_id", "exit_score", "exit_stage")
-
-
 @query("h6_cascade_stateless", f"with {V.SQL_PREDICTIONS} select event_id, round(case when prob_benign > 0.88 then 1.0::double else prob_benign - (1 - prob_benign) - 0.1::double end, 6) as exit_score, case when prob_benign > 0.88 then 0 when prob_benign - (1 - prob_benign) - 0.1::double >= 0.5 then 1 else 2 end as exit_stage from predictions")
 def _(spark, d):
     r = temporal.route(cascade_input(spark, d), ["source_file", "device_id"], ["ts_s", "event_id"], "ts_s", threshold=0.5, use_state=False)
     return r.select("event_id", r6("exit_score"), "exit_stage")
 
 
-@query("a28_routing_summary", f"with {V.SQL_PREDICTIONS}, s as (select case when prob_benign > 0.88 then 0 when prob_benign - (1 - prob_benign) - 0.1::double >= 0.5 then 1 else 2 end as st from predictions) select round(avg((st=0)::int), 6) as boolean_share, round(avg((st=1)::int), 6) as tiny_share, round(avg((st=2)::int), 6) as main_share, round(10 + 100*avg((st>=1)::int) + 1000*avg((st=2)::int), 4) as average_operations from s")
+@query("a28_a29_routing_summary", f"with {V.SQL_PREDICTIONS}, s as (select case when prob_benign > 0.88 then 0 when prob_benign - (1 - prob_benign) - 0.1::double >= 0.5 then 1 else 2 end as st from predictions) select round(avg((st=0)::int), 6) as boolean_share, round(avg((st=1)::int), 6) as tiny_share, round(avg((st=2)::int), 6) as main_share, round(10 + 100*avg((st>=1)::int) + 1000*avg((st=2)::int), 4) as average_operations, round(1 - (10 + 100*avg((st>=1)::int) + 1000*avg((st=2)::int)) / 1100, 6) as reduction from s")
 def _(spark, d):
     r = temporal.route(cascade_input(spark, d), ["source_file", "device_id"], ["ts_s", "event_id"], "ts_s", threshold=0.5, use_state=False)
-    at = lambda c: F.avg(c.cast("double"))
-    st = F.col("exit_stage")
-    return r.agg(r6(at(st == 0), "boolean_share"), r6(at(st == 1), "tiny_share"), r6(at(st == 2), "main_share"), F.round(10 + 100 * at(st >= 1) + 1000 * at(st == 2), 4).alias("average_operations"))
+    m = metrics.routing_summary(r, (10, 100, 1000))
+    return m.select(*[r6(c) for c in ("boolean_share", "tiny_share", "main_share", "reduction")], F.round("average_operations", 4).alias("average_operations"))
 
 
 # --- metrics and calibration -----------------------------------------------------
@@ -409,8 +473,8 @@ def _(spark, d):
 
 @query("a15_false_negatives", f"with {_SCORED} select round(avg((predicted_label = 'benign')::int) filter (where true_label in ('scan_like','flood_like','exfil_like','unknown_like')), 6) as high_risk_fnr, avg((predicted_label = 'unknown_like')::int) filter (where true_label = 'unknown_like') as unknown_recall from sc")
 def _(spark, d):
-    miss, unk = (F.col("predicted_label") == "benign").cast("double"), (F.col("predicted_label") == K.UNKNOWN).cast("double")
-    return scored(spark, d).agg(r6(F.avg(F.when(F.col("true_label").isin(K.HIGH_RISK), miss)), "high_risk_fnr"), F.avg(F.when(F.col("true_label") == K.UNKNOWN, unk)).alias("unknown_recall"))
+    m = metrics.false_negatives(scored(spark, d))
+    return m.select(r6("high_risk_fnr"), "unknown_recall")
 
 
 @query("a16_brier", f"with {V.SQL_PREDICTIONS} select round(avg(" + "+".join(f"(prob_{x}-(true_label='{x}')::int)*(prob_{x}-(true_label='{x}')::int)" for x in V.PROBS) + "), 6) as brier from predictions")
@@ -452,12 +516,6 @@ def _(spark, d):
     return s.select("q", r6("benign_exit"), r6("attack_recall"))
 
 
-@query("w17_exit_threshold")
-def _(spark, d):
-    s = V.predictions(spark, d).withColumn("score", F.col("prob_benign") - (1 - F.col("prob_benign")) - 0.1)
-    return calibrate.exit_threshold(s, "score", F.col("true_label") != "benign", 0.995)
-
-
 @query("w18_confidence_sweep", f"""with {_SCORED}, k as (select confidence as p, 1 - prob_benign >= 0.3::double as far from sc), g as (select unnest({[round(0.05 + 0.005 * i, 3) for i in range(189)]}::double[]) as confidence)
 select g.confidence, round(avg((p < g.confidence and far)::int), 6) as rate from k, g group by 1""")
 def _(spark, d):
@@ -465,16 +523,14 @@ def _(spark, d):
     return calibrate.confidence_sweep(s, "confidence", "distance", 0.3).select("confidence", r6("rate"))
 
 
-@query("a22_ordered_digest", "select count(*) as n, sha256(string_agg(h, chr(10) order by h)) as digest from (select sha256(cast(user_id as varchar)) as h from events group by user_id)")
+@query("a22_ordered_digest", "with h as (select distinct sha256(cast(user_id as varchar)) as h from events), l as (select substr(h, 1, 3) as p, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as leaf from h group by 1) select cast(sum(n) as bigint) as n, sha256(string_agg(leaf, chr(10) order by p)) as digest from l")
 def _(spark, d):
-    h = table(spark, d, "events").select("user_id").distinct().select(F.sha2(F.col("user_id").cast("string"), 256).alias("h"))
-    return h.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("h"))), 256).alias("digest"))
+    return stats.ordered_digest(table(spark, d, "events").select(F.sha2(F.col("user_id").cast("string"), 256).alias("h")).distinct(), "h")
 
 
 @query("a32_attack_prior", f"with {V.SQL_PREDICTIONS}, c as (select true_label, count(*) as n from predictions where true_label <> 'benign' group by 1) select true_label, round(n / sum(n) over (), 6) as prior from c")
 def _(spark, d):
-    c = V.predictions(spark, d).where("true_label <> 'benign'").groupBy("true_label").count()
-    return c.select("true_label", r6(F.col("count") / F.sum("count").over(Window.partitionBy()), "prior"))
+    return metrics.attack_prior(V.predictions(spark, d)).select("true_label", r6("prior"))
 
 
 @query("k1_shard_layout", f"with {V.SQL_FEATURES} select source_file, behavior_label, count(*) as rows, min(row_uid) as first_uid, max(row_uid) as last_uid from features group by 1, 2")
