@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 FOLDER = "sentryflow"
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,19 +34,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{FOLDER}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` on this session, whatever their rows hold; a smaller setting stays.
+
+    Results are lazy, so the bound has to last; every operator that sends texts to Python comes through here first.
+    """
+    size = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table of fewer partitions than cores over all cores; larger tables are left as they are read.
-
-    Arrow batches of texts are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless the session says otherwise).
-    """
+    """Deal a table of fewer partitions than cores over all cores; larger tables are left as they are read."""
+    bound_batches(df.sparkSession)
     want = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() < want:
         return df.repartition(want)
