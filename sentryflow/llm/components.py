@@ -27,19 +27,22 @@ def _with_min(pairs: DataFrame, rows: int, hub: int) -> tuple[DataFrame, DataFra
     return dealt.join(each, ["u", "part"]).select("u", "v", "m"), low.select("u", "m")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60, hub: int = 1000) -> DataFrame:
-    """``edges``: columns a, b (long, any order, repeats and loops allowed).
+def sized(df: DataFrame, rows: int, each: int = 500_000) -> DataFrame:
+    """``df`` in a task for every ``each`` of its ``rows`` narrow rows, and no fewer than cores, so that a small table is not hundreds of files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, hub: int = 1000, ready: bool = False) -> DataFrame:
+    """``edges``: columns a, b (long, any order, repeats and loops allowed; none of them, and staged, if ``ready``).
 
     Returns (node, root) for every node that has an edge to another; root is the
     smallest node of its component.  Null ends are ignored; an empty table gives
     an empty result.
     """
-    e = staged(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "edges",
-    )
+    e = edges if ready else edges.where("a is not null and b is not null and a <> b")
+    e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if not ready:
+        e = staged(e.distinct(), "edges")
     mark = _mark(e)
     for _ in range(max_rounds):
         if not mark[0]:
@@ -54,7 +57,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, hub: int = 1000
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = staged(small, "edges")
+        e = staged(sized(small, mark[0]), "edges")
         now = _mark(e)
         if now == mark:
             break

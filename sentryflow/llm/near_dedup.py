@@ -42,7 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sentryflow.llm.components import connected_components
+from sentryflow.llm.components import connected_components, sized
 from sentryflow.llm.streams import sorted_groups
 from sentryflow.staging import spread, staged
 
@@ -320,7 +320,7 @@ def _classes(base: DataFrame, percent: int, shingle: int, coords: int, matches:
     for bucket, c in reps.select("sig").mapInArrow(_bucket_counts, "bucket int, c long").groupBy("bucket").agg(F.sum("c")).collect():
         counts[bucket] = c
     posts = reps.select("rep", "n", "sig").mapInArrow(_post(counts, coords - matches + 1), "token long, rep long, n long, sig binary")
-    long_lists = staged(posts.groupBy("token").count().where(F.col("count") > LIST_BLOCK), "lists")
+    long_lists = posts.groupBy("token").count().where(F.col("count") > LIST_BLOCK)
     tiled = _tiles(posts.join(long_lists, "token", "left"), F.coalesce(F.ceil(F.col("count") / LIST_BLOCK), F.lit(1)).cast("long"))
     candidates = staged(
         tiled.select("token", "tile", "rep", "n", "sig")
@@ -331,13 +331,15 @@ def _classes(base: DataFrame, percent: int, shingle: int, coords: int, matches:
         .distinct(),
         "candidates",
     )
-    groups = connected_components(candidates)
-    members = staged(groups.join(reps, F.col("node") == F.col("rep")).select("rep", F.col("root").alias("comp"), "n", "rep_doc", "rep_t"), "members")
+    total = reps.count()
+    groups = connected_components(candidates, ready=True)
+    members = groups.join(reps, F.col("node") == F.col("rep")).select("rep", F.col("root").alias("comp"), "n", "rep_doc", "rep_t")
+    members = staged(sized(members, total), "members")
     sets = staged(member_sets(base, members, shingle), "sets")
     direct = staged(confirmed_pairs(candidates, sets, percent), "direct")
-    joined = connected_components(direct)
+    joined = connected_components(direct, ready=True)
     parts = members.join(joined, F.col("node") == F.col("rep"), "left").select("rep", "comp", "n", F.coalesce("root", "rep").alias("sub"))
-    parts = staged(parts, "parts")
+    parts = staged(sized(parts, total), "parts")
     apart = parts.groupBy("comp").agg(F.min("sub").alias("lo"), F.max("sub").alias("hi")).where("lo <> hi").select("comp")
     # links between parts join whole parts
     links = confirmed_links(parts.join(apart, "comp", "left_semi"), sets, percent)
@@ -365,9 +367,10 @@ def near_duplicates(
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     base = _base(docs, id_col, text_col)
     rows, classes = _classes(base.where("doc_id is not null"), percent, shingle, coords, matches)
-    classes = staged(classes, "node_roots")
+    total = rows.count()
+    classes = staged(sized(classes, total), "node_roots")
     label = classes.groupBy("root").agg(F.min("rep_doc").alias("label"))
-    labels = staged(classes.join(label, "root").select("digest", "label"), "labels")
+    labels = staged(sized(classes.join(label, "root").select("digest", "label"), total), "labels")
     # ids with texts of several classes tie their classes together; the smallest id of a component stands for it
     several = rows.where("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
     ties = rows.join(several.select("doc_id"), "doc_id", "left_semi").where("digest is not null").join(labels, "digest")
@@ -403,10 +406,12 @@ def keep_one(
     """
     base = _base(docs, id_col, text_col)
     rows, classes = _classes(base, percent, shingle, coords, matches)
-    named = staged(rows.where("digest is not null").join(classes.select("digest", "root"), "digest").groupBy("root", "doc_id", "t").agg(F.count("*").alias("c")), "named")
+    total = rows.count()
+    named = rows.where("digest is not null").join(classes.select("digest", "root"), "digest").groupBy("root", "doc_id", "t").agg(F.count("*").alias("c"))
+    named = staged(sized(named, total), "named")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("r")).select(F.col("root").alias("f_root"), F.col("r.doc_id").alias("f_doc"), F.col("r.t").alias("f_t"))
     judged = named.join(first, F.col("root") == F.col("f_root")).withColumn("first", F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("t") == F.col("f_t")))
-    judged = staged(judged.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), "first", "c"), "judged")
+    judged = staged(sized(judged.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), "first", "c"), total), "judged")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__h"))
     same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__t"))
     left = d.join(judged.where("not first"), same, "left_anti")
@@ -432,7 +437,7 @@ def confirmed_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
     p = p.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("rep"))
     slices = p.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SLICE).cast("long").alias("slices"))
     p = p.join(slices, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("slices")).alias("slice"))
-    p = staged(p, "pairs")
+    p = staged(sized(p, pairs.count()), "pairs")
     leaves = p.join(sets, "rep").select("hub", "slice", F.lit(1).alias("leaf"), "rep", "set")
     hubs = p.select("hub", "slice").distinct().join(sets.withColumnRenamed("rep", "hub"), "hub").select("hub", "slice", F.lit(0).alias("leaf"), F.col("hub").alias("rep"), "set")
     return leaves.unionByName(hubs).repartition("hub", "slice").sortWithinPartitions("hub", "slice").mapInArrow(_confirm_slices(percent), "a long, b long")
