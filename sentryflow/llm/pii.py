@@ -97,7 +97,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-_OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SECRET_CHARS)
+# only where a run begins
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % SECRET_CHARS)
 
 
 def opaque(run: str) -> bool:
@@ -112,7 +113,7 @@ def opaque(run: str) -> bool:
 def protected_spans(text: str | None) -> list[tuple[str, int, int]]:
     """The base spans, then the secrets that overlap none of them."""
     out = base_spans(text)
-    if text:
+    if text and _DIGITS.search(text):
         taken = [(a, z) for _, a, z in out]
         out += [("secret", m.start(), m.end()) for m in _OPAQUE.finditer(text) if opaque(m[0]) and not any(a < m.end() and m.start() < z for a, z in taken)]
     return out
@@ -127,14 +128,19 @@ def term_of(word: str) -> str:
     return t if any(c.isalpha() for c in t) else ""
 
 
+def encoded_words(text: str) -> set[bytes]:
+    """The distinct words of a text in UTF-8: bytes split at the same ASCII white space as ``_WORD``."""
+    return set(text.encode("utf-8", "surrogatepass").split())
+
+
 class Terms(dict):
-    """Word to its term (empty for none), or None if it is not in ``wanted``; emptied when it has grown to ``bound`` words."""
+    """Word in UTF-8 to its term (empty for none), or None if it is not in ``wanted``; emptied when it has grown to ``bound`` words."""
 
     def __init__(self, wanted=None, bound: int = 200_000):
         self.wanted, self.bound = wanted, bound
 
-    def __missing__(self, word: str) -> str | None:
-        t = term_of(word)
+    def __missing__(self, word: bytes) -> str | None:
+        t = term_of(word.decode("utf-8", "surrogatepass"))
         t = t if self.wanted is None or t in self.wanted else None
         if len(word) <= 64:
             if len(self) >= self.bound:
@@ -173,7 +179,7 @@ def _count(batches):
         for text in b.column(0):
             text = text.as_py() or ""
             spans = protected_spans(text)
-            found = {terms[w] for w in set((m[0] for m in free_words(text, spans)) if spans else _WORD.findall(text))}
+            found = {terms[w] for w in ({m[0].encode("utf-8", "surrogatepass") for m in free_words(text, spans)} if spans else encoded_words(text))}
             found.discard("")
             has = {s[0] for s in spans}
             one = [1, *(int(k in has) for k in PROTECTED)]
@@ -200,8 +206,8 @@ def _search(wanted):
             at, found = [], []
             for i, text in enumerate(b.column(1)):
                 text = text.as_py() or ""
-                if any(terms[w] is not None for w in set(_WORD.findall(text))):
-                    hits = [{"start": m.start(), "stop": m.end()} for m in free_words(text, protected_spans(text)) if terms[m[0]] is not None]
+                if any(terms[w] is not None for w in encoded_words(text)):
+                    hits = [{"start": m.start(), "stop": m.end()} for m in free_words(text, protected_spans(text)) if terms[m[0].encode("utf-8", "surrogatepass")] is not None]
                     if hits:
                         at.append(i)
                         found.append(hits)
