@@ -46,7 +46,7 @@ _STEPS = 16
 
 
 class Encoder:
-    """Texts to bundled trigram vectors; holds at most ``_VECTOR_BOUND`` trigram vectors."""
+    """Texts to bundled trigram vectors; holds at most ``_VECTOR_BOUND`` trigram vectors, a byte a dimension."""
 
     def __init__(self, dim: int = DIM):
         self.dim, self.letters = dim, {}
@@ -54,7 +54,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index: dict[int, int] = {}
-        self.rows = np.empty((0, self.dim), np.float32)
+        self.rows = np.empty((0, self.dim), np.int8)
 
     def letter(self, cp: int) -> np.ndarray:
         v = self.letters.get(cp)
@@ -111,11 +111,14 @@ class Encoder:
             if len(self.index) + len(new) > _VECTOR_BOUND:
                 self._reset()
                 new = grams.tolist()
-            made = np.stack([self.vector(g) for g in new]).astype(np.float32)
+            if len(self.rows) < (need := len(self.index) + len(new)):
+                grown = np.empty((min(_VECTOR_BOUND, max(need, 2 * len(self.rows))), self.dim), np.int8)
+                grown[: len(self.index)] = self.rows[: len(self.index)]
+                self.rows = grown
             for g in new:
+                self.rows[len(self.index)] = self.vector(g)
                 self.index[g] = len(self.index)
-            self.rows = np.concatenate([self.rows, made])
-        return self.rows[[self.index[g] for g in grams.tolist()]]
+        return self.rows[[self.index[g] for g in grams.tolist()]].astype(np.float32)
 
 
 @functools.lru_cache(maxsize=1)
