@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 FOLDER = "sentryflow"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
