@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def sign(x: Column) -> Column:
@@ -64,6 +64,45 @@ def fit_forest(train: DataFrame, features: list[str], label: str, trees: int = 5
     return _pipeline(features, label, _labels(train, label), est).fit(_weighted(train, label)), _labels(train, label)
 
 
+def fit_mlp(train: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (64, 32), iterations: int = 100, seed: int = 2309):
+    """Full-precision network; rows weigh alike, as the estimator takes no weights."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    labels = _labels(train, label)
+    est = MultilayerPerceptronClassifier(featuresCol="__x", labelCol="__y", layers=[len(features), *hidden, len(labels)], maxIter=iterations, seed=seed, predictionCol="__p")
+    return _pipeline(features, label, labels, est).fit(train.where(F.col(label).isNotNull())), labels
+
+
+FITS = {"logistic_regression": fit_logistic, "random_forest": fit_forest, "fp32_mlp": fit_mlp}
+
+
+def fit(kind: str, train: DataFrame, features: list[str], label: str, **options):
+    """A model by its configured type."""
+    if kind not in FITS:
+        raise ValueError(f"no model of type {kind!r}; there are {sorted(FITS)}")
+    return FITS[kind](train, features, label, **options)
+
+
+def fit_gate(train: DataFrame, features: list[str], label: str, first: int, benign: str = "benign", **options):
+    """The small model in front of the main one: benign or attack, on the first ``first`` features."""
+    two = train.where(F.col(label).isNotNull()).withColumn(label, F.when(F.col(label) == benign, benign).otherwise("attack"))
+    return fit_logistic(two, features[:first], label, **options)
+
+
+def save(model, path: str) -> str:
+    """Model and label order below ``path``, which must not exist yet."""
+    fitted, labels = model
+    fitted.write().save(f"{path}/model")
+    SparkSession.active().createDataFrame(list(enumerate(labels)), "place int, label string").coalesce(1).write.parquet(f"{path}/labels")
+    return path
+
+
+def load(spark, path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/model"), [r.label for r in spark.read.parquet(f"{path}/labels").orderBy("place").collect()]
+
+
 def predict(model, df: DataFrame) -> DataFrame:
     """Adds predicted_label and an array of probabilities."""
     from pyspark.ml.functions import vector_to_array

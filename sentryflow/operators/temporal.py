@@ -7,6 +7,7 @@ one device's counters, whatever the length of a history.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -67,6 +68,22 @@ def replay(df: DataFrame, keys: list[str], order: list[str], ts: str, prob: str
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema + "".join(f", state_{c} int" for c in COUNTERS))
 
 
+def exit_step(state: Device, ts: float | None, boolean: bool, p: float, main: dict, *, threshold: float, penalty: float = 0.30, false_negative_cost: float = 0.10, prior: dict | None = None) -> tuple[float, int]:
+    """Exit score and stage of one row; the device's state then takes the probabilities of the model that it left by."""
+    prior = prior or {c: 0.25 for c in COUNTERS if c != "benign"}
+    doubt = state.suspicion()
+    if boolean and doubt <= 0:
+        score, stage, probs = 1.0, 0, dict.fromkeys(COUNTERS, 0.0) | {"benign": 1.0}
+    else:
+        score = p - (1 - p) - penalty * doubt - false_negative_cost
+        if score >= threshold:
+            stage, probs = 1, {c: (1 - p) * prior.get(c, 0.0) for c in COUNTERS} | {"benign": p}
+        else:
+            stage, probs = 2, main
+    state.update(probs, ts)
+    return score, stage
+
+
 def route(df: DataFrame, keys: list[str], order: list[str], ts: str, *, threshold: float, penalty: float = 0.30, false_negative_cost: float = 0.10, use_state: bool = True, attack_prior: dict | None = None) -> DataFrame:
     """Early-exit routing: exit_stage and exit_score of each row, where earlier rows of a device make it wait.
 
@@ -78,7 +95,7 @@ def route(df: DataFrame, keys: list[str], order: list[str], ts: str, *, threshol
         score = p - (1 - p) - false_negative_cost
         stage = F.when(F.col("boolean"), 0).when(score >= threshold, 1).otherwise(2)
         return df.select(*dict.fromkeys([*keys, *order]), F.when(F.col("boolean"), 1.0).otherwise(score).alias("exit_score"), stage.alias("exit_stage"))
-    prior = attack_prior or {c: 0.25 for c in COUNTERS if c != "benign"}
+    step = functools.partial(exit_step, threshold=threshold, penalty=penalty, false_negative_cost=false_negative_cost, prior=attack_prior)
     carried = list(dict.fromkeys([*keys, *order]))
     rows = df.select(*carried, F.col(ts).cast("double").alias("__ts"), F.col("boolean").alias("__bool"), p.cast("double").alias("__p"), *[F.col(f"prob_{c if c == 'benign' else c + '_like'}").cast("double").alias(f"__{c}") for c in COUNTERS])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(carried)])
@@ -91,16 +108,7 @@ def route(df: DataFrame, keys: list[str], order: list[str], ts: str, *, threshol
             for i, k in enumerate(zip(*(data[k] for k in keys))):
                 if k != key:
                     key, state = k, Device()
-                doubt, p1 = state.suspicion(), data["__p"][i]
-                if data["__bool"][i] and doubt <= 0:
-                    score, stage, probs = 1.0, 0, dict.fromkeys(COUNTERS, 0.0) | {"benign": 1.0}
-                else:
-                    score = p1 - (1 - p1) - penalty * doubt - false_negative_cost
-                    if score >= threshold:
-                        stage, probs = 1, {c: (1 - p1) * prior.get(c, 0.0) for c in COUNTERS} | {"benign": p1}
-                    else:
-                        stage, probs = 2, {c: data[f"__{c}"][i] for c in COUNTERS}
-                state.update(probs, data["__ts"][i])
+                score, stage = step(state, data["__ts"][i], data["__bool"][i], data["__p"][i], {c: data[f"__{c}"][i] for c in COUNTERS})
                 scores.append(score)
                 stages.append(stage)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(scores, pa.float64()), pa.array(stages, pa.int32())], names=[*carried, "exit_score", "exit_stage"])

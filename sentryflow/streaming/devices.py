@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sentryflow.functions.scalars import ack_only, has_flag
-from sentryflow.operators.temporal import COUNTERS, Device
+from sentryflow.operators.temporal import COUNTERS, Device, exit_step
 
 FEATURES = [
     "packet_rate", "byte_rate", "burst_score", "tcp_ratio", "udp_ratio", "icmp_ratio", "syn_ratio", "rst_ratio", "ack_only_ratio",
@@ -165,6 +165,36 @@ def stream_risk(scored: DataFrame, prob: str = "prob_{}", *, late: str = "error"
     return rows.groupBy("device_id").applyInPandasWithState(run, schema, kept, "append", "NoTimeout")
 
 
+def stream_route(scored: DataFrame, threshold: float, *, late: str = "error", **options) -> DataFrame:
+    """device_id, seq, ts_s, exit_score and exit_stage (append mode): ``temporal.route`` with state, as a stream.
+
+    Columns needed beside id and time: ``boolean``, ``p_tiny`` and ``prob_<label>`` of the main model; a null
+    probability counts as 0 and a null ``boolean`` as false.  ``options`` as in ``temporal.exit_step``.
+    """
+    share = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rows = scored.select(
+        "device_id", F.col("ts_s").cast("double"), F.col("seq").cast("long"), F.coalesce("boolean", F.lit(False)).alias("boolean"), share("p_tiny").alias("p_tiny"),
+        *[share(f"prob_{c if c == 'benign' else c + '_like'}").alias(c) for c in COUNTERS],
+    )
+
+    def run(key, chunks, state):
+        device, last = Device(), None
+        if state.exists:
+            *counts, device.since, last = state.get
+            device.counters = dict(zip(COUNTERS, counts))
+        out = []
+        for r in _in_order(chunks, last, late).itertuples(index=False):
+            ts = None if pd.isna(r.ts_s) else float(r.ts_s)
+            score, stage = exit_step(device, ts, bool(r.boolean), r.p_tiny, {c: getattr(r, c) for c in COUNTERS}, threshold=threshold, **options)
+            last = last if ts is None else ts
+            out.append((key[0], r.seq, ts, score, stage))
+        state.update((*(device.counters[c] for c in COUNTERS), device.since, last))
+        yield pd.DataFrame(out, columns=["device_id", "seq", "ts_s", "exit_score", "exit_stage"])
+
+    kept = ", ".join(f"{c} int" for c in COUNTERS) + ", since double, last double"
+    return rows.groupBy("device_id").applyInPandasWithState(run, "device_id string, seq long, ts_s double, exit_score double, exit_stage int", kept, "append", "NoTimeout")
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process all that is there now into Parquet at ``path``; a later call goes on from the checkpoint."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -176,3 +176,18 @@ def test_batch_inference_is_the_fitted_linear_model(spark):
         got = models.predict(model, df).collect()
         assert len(got) == 300 and all(r.predicted_label == model[1][int(np.argmax(r.probabilities[: len(model[1])]))] for r in got)
         assert np.mean([r.predicted_label == r.label for r in got]) > 0.75
+
+
+def test_models_by_type_keep_their_predictions_when_saved(spark, tmp_path):
+    df = spark.createDataFrame([(float(i % 10), float(i * 7 % 5), "benign" if i % 10 < 4 else "scan_like" if i % 10 < 7 else "flood_like") for i in range(120)], "a double, b double, y string")
+    for kind, options in (("logistic_regression", {}), ("random_forest", {"trees": 5}), ("fp32_mlp", {"hidden": (8,), "iterations": 60})):
+        model = models.fit(kind, df, ["a", "b"], "y", **options)
+        got = models.predict(model, df).orderBy("a", "b").collect()
+        assert sum(r.y == r.predicted_label for r in got) >= 110, kind
+        assert all(sum(r.probabilities) == pytest.approx(1) for r in got)
+        again = models.predict(models.load(spark, models.save(model, f"{tmp_path}/{kind}")), df).orderBy("a", "b").collect()
+        assert [r.predicted_label for r in again] == [r.predicted_label for r in got]
+    gate = models.predict(models.fit_gate(df, ["a", "b"], "y", 1), df).collect()
+    assert {r.predicted_label for r in gate} <= {"attack", "benign"} and sum((r.y == "benign") == (r.predicted_label == "benign") for r in gate) >= 110
+    with pytest.raises(ValueError, match="xgboost"):
+        models.fit("xgboost", df, ["a", "b"], "y")

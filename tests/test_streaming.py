@@ -63,3 +63,13 @@ def test_late_rows_fail_or_go():
     assert devices._in_order([rows], 3.0, "drop")["seq"].tolist() == [3, 1]
     with pytest.raises(ValueError):
         devices._in_order([rows], 3.0, "error")
+
+
+def test_stream_route_equals_batch_over_triggers(spark, tmp_path):
+    rows = [(f"d{i % 3}", i, 13.0 * i, (i * 7 % 10) / 10, (i * 3 % 11) / 10, i % 6 == 0, (i * 8 % 11) / 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "device_id string, seq long, ts_s double, prob_scan_like double, prob_benign double, boolean boolean, p_tiny double")
+    for c in ("flood_like", "beacon_like", "unknown_like"):
+        df = df.withColumn(f"prob_{c}", F.lit(0.1))
+    got = {r.seq: (r.exit_score, r.exit_stage) for r in devices.run_available(devices.stream_route(stream(spark, df, tmp_path, 3), 0.2), f"{tmp_path}/out", f"{tmp_path}/cp").collect()}
+    want = {r.seq: (r.exit_score, r.exit_stage) for r in temporal.route(df, ["device_id"], ["ts_s", "seq"], "ts_s", threshold=0.2).collect()}
+    assert got == want and len(got) == 60 and {s for _, s in got.values()} == {0, 1, 2}
