@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sentryflow.staging import staged
+
 
 def sign(x: Column) -> Column:
     return F.when(x >= 0, 1.0).otherwise(-1.0)
@@ -39,38 +41,47 @@ def _pipeline(features: list[str], label: str, labels: list[str], estimator):
     return Pipeline(stages=[index, VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip"), scaler, estimator])
 
 
+def _rows(train: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Label and features, staged once: a fit reads them again and again, and ``train`` may be costly."""
+    return staged(train.select(*dict.fromkeys([label, *features])), "train")
+
+
 def _labels(train: DataFrame, label: str) -> list[str]:
     return sorted(r[0] for r in train.select(label).distinct().collect())
 
 
-def _weighted(train: DataFrame, label: str) -> DataFrame:
+def _weighted(train: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """Rows with the weight of their class, and the labels in order."""
     from sentryflow.operators.stats import class_weights
 
-    w = class_weights(train, label).select(label, F.col("weight").alias("__w"))
-    return train.join(F.broadcast(w), label)  # one row a label
+    w = staged(class_weights(train, label).select(label, F.col("weight").alias("__w")), "weights")
+    return train.join(F.broadcast(w), label), _labels(w, label)  # one row a label
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 30):
     from pyspark.ml.classification import LogisticRegression
 
     est = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=iterations, predictionCol="__p")
-    return _pipeline(features, label, _labels(train, label), est).fit(_weighted(train, label)), _labels(train, label)
+    rows, labels = _weighted(_rows(train, features, label), label)
+    return _pipeline(features, label, labels, est).fit(rows), labels
 
 
 def fit_forest(train: DataFrame, features: list[str], label: str, trees: int = 50, seed: int = 2309):
     from pyspark.ml.classification import RandomForestClassifier
 
     est = RandomForestClassifier(featuresCol="__x", labelCol="__y", weightCol="__w", numTrees=trees, seed=seed, predictionCol="__p")
-    return _pipeline(features, label, _labels(train, label), est).fit(_weighted(train, label)), _labels(train, label)
+    rows, labels = _weighted(_rows(train, features, label), label)
+    return _pipeline(features, label, labels, est).fit(rows), labels
 
 
 def fit_mlp(train: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (64, 32), iterations: int = 100, seed: int = 2309):
     """Full-precision network; rows weigh alike, as the estimator takes no weights."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
-    labels = _labels(train, label)
+    rows = _rows(train, features, label)
+    labels = _labels(rows, label)
     est = MultilayerPerceptronClassifier(featuresCol="__x", labelCol="__y", layers=[len(features), *hidden, len(labels)], maxIter=iterations, seed=seed, predictionCol="__p")
-    return _pipeline(features, label, labels, est).fit(train.where(F.col(label).isNotNull())), labels
+    return _pipeline(features, label, labels, est).fit(rows.where(F.col(label).isNotNull())), labels
 
 
 FITS = {"logistic_regression": fit_logistic, "random_forest": fit_forest, "fp32_mlp": fit_mlp}

@@ -10,6 +10,8 @@ from sentryflow.operators.order import running
 from sentryflow.staging import staged
 
 FRACTIONS = (0.70, 0.15)
+#: Leading hexadecimal digits of a hash that rows are counted by.
+BUCKET_DIGITS = 3
 
 
 def positions(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
@@ -36,16 +38,37 @@ def quotas(counts: DataFrame, label: str, target: Column, total: Column) -> Data
 
 
 def split_random(df: DataFrame, uid: str, label: str, seed=2309, fractions=FRACTIONS) -> DataFrame:
-    """Stratified: labels share floor(n * fraction) rows by largest remainder; rows in the order of their seeded hash."""
-    counts = df.groupBy(label).count()
+    """Stratified: labels share floor(n * fraction) rows by largest remainder; rows in the order of their seeded hash, those without an id last.
+
+    Rows are counted by label and leading hash digits. Only those in the bucket of a label's last training or
+    validation row are put in order, a few thousandths of a large table; a bucket before or after these is whole in one part.
+    """
+    bucket = F.coalesce(F.conv(F.substring("__rank", 1, BUCKET_DIGITS), 16, 10).cast("int"), F.lit(16**BUCKET_DIGITS))
+    keyed = df.withColumn("__rank", seeded_rank(seed, F.col(uid))).withColumn("__bucket", bucket)
+    sizes = staged(keyed.groupBy(label, "__bucket").agg(F.count("*").alias("__size")), "buckets")
+    counts = sizes.groupBy(label).agg(F.sum("__size").alias("count"))
     n = F.sum("count").over(Window.partitionBy())
     tv = counts.withColumn("n", n).withColumn("tr", F.floor(F.col("n") * fractions[0])).withColumn("va", F.floor(F.col("n") * fractions[1]))
-    train = quotas(tv.select(label, "count", "tr", "n"), label, F.col("tr"), F.col("n")).select(label, F.col("quota").alias("q_train"))
-    val = quotas(tv.select(label, "count", "va", "n"), label, F.col("va"), F.col("n")).select(label, F.col("quota").alias("q_val"))
-    plan = train.join(val, label)
-    ranked = running(df.withColumn("__rank", seeded_rank(seed, F.col(uid))).withColumn("__one", F.lit(1)), [label], ["__rank", uid], {"__i": "__one"})
-    part = F.when(F.col("__i") <= F.col("q_train"), "train").when(F.col("__i") <= F.col("q_train") + F.col("q_val"), "validation").otherwise("test")
-    return ranked.join(plan, label).withColumn("split", part).drop("__rank", "__one", "__i", "q_train", "q_val")
+    train = quotas(tv.select(label, "count", "tr", "n"), label, F.col("tr"), F.col("n")).select(label, F.col("quota").alias("__train"))
+    val = quotas(tv.select(label, "count", "va", "n"), label, F.col("va"), F.col("n")).select(label, F.col("quota").alias("__val"))
+    ends = train.join(val, label).select(label, F.col("__train").alias("__end1"), (F.col("__train") + F.col("__val")).alias("__end2"))
+    before = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    steps = sizes.withColumn("__below", F.coalesce(F.sum("__size").over(before), F.lit(0))).join(F.broadcast(ends), label)
+    # the first bucket that goes on after the part's last row; none if the part takes the label's last row
+    edge = lambda end: F.min(F.when(F.col("__below") + F.col("__size") > F.col(end), F.struct("__bucket", "__below")))
+    plan = steps.groupBy(label, "__end1", "__end2").agg(edge("__end1").alias("__e1"), edge("__end2").alias("__e2"))
+    past = F.lit(16**BUCKET_DIGITS + 1)
+    plan = plan.select(label, "__end1", "__end2", *[c for k in "12" for c in (F.coalesce(f"__e{k}.__bucket", past).alias(f"__at{k}"), F.col(f"__e{k}.__below").alias(f"__below{k}"))])
+    placed = keyed.join(F.broadcast(staged(plan, "plan")), label)  # one row a label
+    b = F.col("__bucket")
+    at_edge = (b == F.col("__at1")) | (b == F.col("__at2"))
+    whole = placed.where(~at_edge).withColumn("split", F.when(b < F.col("__at1"), "train").when(b < F.col("__at2"), "validation").otherwise("test"))
+    few = staged(placed.where(at_edge).withColumn("__one", F.lit(1)), "edges")
+    ranked = running(few, [label, "__bucket"], ["__rank", uid], {"__i": "__one"})
+    i = F.col("__i") + F.when(b == F.col("__at1"), F.col("__below1")).otherwise(F.col("__below2"))
+    near = ranked.withColumn("split", F.when(i <= F.col("__end1"), "train").when(i <= F.col("__end2"), "validation").otherwise("test"))
+    own = ["__rank", "__bucket", "__end1", "__end2", "__at1", "__at2", "__below1", "__below2"]
+    return whole.drop(*own).unionByName(staged(near.drop(*own, "__one", "__i"), "ranked"))
 
 
 def split_device(df: DataFrame, uid: str, device: str, held_out: list[str] | None = None, seed=2309, fractions=FRACTIONS) -> DataFrame:

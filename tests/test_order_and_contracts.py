@@ -1,5 +1,7 @@
 """Running totals, quantiles, splits, inspection and contracts against plain Python."""
 
+import collections
+import hashlib
 import random
 
 import numpy as np
@@ -191,3 +193,50 @@ def test_models_by_type_keep_their_predictions_when_saved(spark, tmp_path):
     assert {r.predicted_label for r in gate} <= {"attack", "benign"} and sum((r.y == "benign") == (r.predicted_label == "benign") for r in gate) >= 110
     with pytest.raises(ValueError, match="xgboost"):
         models.fit("xgboost", df, ["a", "b"], "y")
+
+
+def test_random_split_orders_only_the_rows_at_the_edges(spark, monkeypatch):
+    rng = random.Random(7)
+    data = [(None if i % 97 == 0 else f"u{i % 5900}", rng.choice(["a"] * 7 + ["b", "b", "c"]) if i else "once", i) for i in range(6000)]
+    df = spark.createDataFrame(data, "uid string, y string, i int")
+    seen, real = [], split.running
+    monkeypatch.setattr(split, "running", lambda rows, *a: (seen.append(rows.count()), real(rows, *a))[1])
+    got = split.split_random(df, "uid", "y").collect()
+    assert sorted(r.i for r in got) == list(range(6000)) and sum(seen) < 60
+
+    def shares(counts, target):
+        n = sum(counts.values())
+        base = {k: c * target // n for k, c in counts.items()}
+        for k in sorted(counts, key=lambda k: (-(counts[k] * target % n), k))[: target - sum(base.values())]:
+            base[k] += 1
+        return base
+
+    counts = collections.Counter(y for _, y, _ in data)
+    train, val = shares(counts, 4200), shares(counts, 900)
+    for y in counts:
+        ids = sorted((u is None, hashlib.sha256(f"2309\0{u}".encode()).hexdigest(), u or "") for u, k, _ in data if k == y)
+        parts = {p: sorted((r.uid is None, hashlib.sha256(f"2309\0{r.uid}".encode()).hexdigest(), r.uid or "") for r in got if r.y == y and r.split == p) for p in ("train", "validation", "test")}
+        a, b = train[y], train[y] + val[y]
+        assert (parts["train"], parts["validation"], parts["test"]) == (ids[:a], ids[a:b], ids[b:])
+
+
+def test_random_split_of_equal_or_missing_ids_keeps_the_quotas(spark):
+    for uid in (F.lit("same"), F.lit(None).cast("string")):
+        df = spark.range(1000).select(uid.alias("uid"), F.lit("a").alias("y"), "id")
+        got = split.split_random(df, "uid", "y").collect()
+        assert collections.Counter(r.split for r in got) == {"train": 700, "validation": 150, "test": 150} and len({r.id for r in got}) == 1000
+    assert split.split_random(df.limit(0), "uid", "y").count() == 0
+
+
+def test_a_fit_reads_its_rows_once(spark):
+    df = spark.createDataFrame([(float(i % 10), float(i * 7 % 5), "benign" if i % 10 < 5 else "scan_like") for i in range(120)], "a double, b double, y string")
+    for fit in (models.fit_logistic, models.fit_forest, models.fit_mlp):
+        read = spark.sparkContext.accumulator(0)
+
+        def counted(batches, read=read):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        model = fit(df.mapInArrow(counted, df.schema), ["a", "b"], "y")
+        assert read.value == 120 and models.predict(model, df).count() == 120
