@@ -64,19 +64,17 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_simhash(df: DataFrame, sh: str, n: str, name: str) -> DataFrame:
     """Adds the 64-bit SimHash of an array of ``n`` shingle hashes: bit b is set if more than half of the hashes have it.
 
-    Two 32-bit counters a long, so arrays of under 2 ** 31 shingles are exact.
+    Two 32-bit counters a long, so arrays of under 2 ** 31 shingles are exact.  Bits are counted and set by one
+    expression over their numbers: one a bit makes plans that take the driver hundreds of MB to prepare.
     """
     lanes = 0x0000000100000001
-
-    def counts(k: int) -> Column:
-        return F.aggregate(sh, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(lanes)))
-
-    bits = F.lit(0).cast("long")
-    for k in range(32):
-        for lane in range(2):
-            c = F.shiftrightunsigned(F.col("__lanes")[k], 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
-            bits = bits.bitwiseOR(F.when(2 * c > F.col(n), F.shiftleft(F.lit(1).cast("long"), k + 32 * lane)).otherwise(F.lit(0).cast("long")))
-    return once(once(df, "__lanes", F.array(*map(counts, range(32)))), name, bits).drop("__lanes")
+    none = F.lit(0).cast("long")
+    right = lambda x, k: F.call_function("shiftrightunsigned", x, k)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.aggregate(sh, none, lambda a, x: a + right(x, k).bitwiseAND(F.lit(lanes))))
+    count = lambda b: right(F.get("__lanes", b.bitwiseAND(F.lit(31))), b.bitwiseAND(F.lit(32))).bitwiseAND(F.lit(0xFFFFFFFF))
+    bit = lambda b: F.when(2 * count(b) > F.col(n), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(none)
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda a, b: a.bitwiseOR(bit(b)))
+    return once(once(df, "__lanes", counts), name, bits).drop("__lanes")
 
 
 def block(h: Column, b: int) -> Column:

@@ -50,9 +50,17 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     bound_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """At more than half of its largest heap the driver collects its garbage, and executors drop the shuffles and broadcasts of plans that a staged table has cut off."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        spark._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table of fewer partitions than cores over all cores; larger tables are left as they are read."""
     bound_batches(df.sparkSession)

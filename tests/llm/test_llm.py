@@ -770,3 +770,24 @@ def test_components_with_hubs(spark):
     for hub in (1000, 4):
         assert {r.node: r.root for r in connected_components(df, hub=hub).collect()} == {x: find(x) for x in up}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_simhash_is_one_expression(spark):
+    """The driver prepares every copy of an expression in a plan."""
+    df = decontaminate.with_simhash(spark.createDataFrame([([1], 1)], "sh array<long>, n int"), "sh", "n", "fp")
+    plan = df._jdf.queryExecution().optimizedPlan().toJSON()
+    assert plan.count("aggregate.") + plan.count("CaseWhen") + plan.count("ArrayAggregate") < 20 and len(plan) < 100_000
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    from sentryflow.llm import components
+
+    written = []
+    staged = components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: written.append(name) or staged(df, name))
+    stars = spark.createDataFrame([(1, 2), (1, 3), (9, 4)], "a long, b long")
+    assert {r.node: r.root for r in components.connected_components(stars).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 9: 4}
+    assert len(written) == 1
+    # 6 and 7 meet in 8 only
+    assert {r.root for r in components.connected_components(spark.createDataFrame([(6, 8), (7, 8)], "a long, b long")).collect()} == {6}
+    assert len(written) == 3

@@ -38,3 +38,17 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         staging.shared_dir(Session())
+
+
+def test_driver_collects_over_half_of_its_heap():
+    from types import SimpleNamespace as Part
+
+    from sentryflow.staging import release
+
+    for total, want in ((400, []), (600, ["gc"])):
+        did = []
+        heap = Part(totalMemory=lambda total=total: total, maxMemory=lambda: 1000)
+        system = Part(gc=lambda did=did: did.append("gc"))
+        java = Part(lang=Part(Runtime=Part(getRuntime=lambda heap=heap: heap)))
+        release(Part(_jvm=Part(java=java, System=system)))
+        assert did == want
