@@ -45,39 +45,35 @@ _ROWS = 256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Where a space does not certainly start a new token: before white space, at the end, or near separators that libraries class differently.
-_UNSURE = re.compile(r" (?:\s|$)|[\x1c-\x1f]")
+#: Texts go to the encoder in parts of about so many characters: its list of ids takes some 36 bytes an id.
+PART = 1 << 20
+#: A space before anything but white space begins a token, so a text may be cut there.
+_CUT = re.compile(r" (?=\S)")
 
 
 class Tokenizer:
-    """Texts to arrays of ids; pieces between spaces are cached, and the cache is emptied when full."""
+    """Texts to arrays of ids.
 
-    def __init__(self, path: str = VOCABULARY, bound: int = 200_000):
+    Whole texts are encoded at once: where many words are rare, a call a word costs more than a cache of words saves.
+    """
+
+    def __init__(self, path: str = VOCABULARY):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
-        encode, dtype = self.encoding.encode_ordinary, self.dtype
-
-        class Cache(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = np.array(encode(" " + piece), dtype).tobytes()
-                if len(piece) <= 64:
-                    if len(self) >= bound:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.cache = Cache()
 
     def encode(self, text: str) -> np.ndarray:
-        if _UNSURE.search(text):
-            return np.array(self.encoding.encode_ordinary(text), self.dtype)
-        first, *rest = text.split(" ")
-        head = np.array(self.encoding.encode_ordinary(first), self.dtype).tobytes()
-        return np.frombuffer(head + b"".join(map(self.cache.__getitem__, rest)), self.dtype)
+        parts, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + PART)
+            end = cut.start() if cut else len(text)
+            ids = self.encoding.encode_ordinary(text[at:end])
+            parts.append(np.fromiter(ids, self.dtype, len(ids)))
+            at = end
+        return np.concatenate(parts) if parts else np.empty(0, self.dtype)
 
     def decode(self, ids) -> str:
         return self.encoding.decode(list(ids))

@@ -791,3 +791,19 @@ def test_components_stop_at_stars(spark, monkeypatch):
     # 6 and 7 meet in 8 only
     assert {r.root for r in components.connected_components(spark.createDataFrame([(6, 8), (7, 8)], "a long, b long")).collect()} == {6}
     assert len(written) == 3
+
+
+def test_tokenizer_calls_its_library_once_a_part(monkeypatch):
+    import tiktoken
+
+    whole, calls = tiktoken.Encoding.encode_ordinary, []
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or whole(self, text))
+    tok = packing.Tokenizer()
+    text = " ".join(f"w{i},\nx{i}" for i in range(2000))
+    want = whole(tok.encoding, text)
+    assert tok.encode(text).tolist() == want and len(calls) == 1
+    # cut at spaces only where a token begins
+    for part in (1, 2, 7):
+        monkeypatch.setattr(packing, "PART", part)
+        for t in (text[:500], "a  b \n c\n\n d \t e", " \x1c x\x1d y \x1f", "a \u2003b \u00a0c\u3000 d", "é 12 ½² don't 's 3's ", "   ", "x" * 50, "", "\n \n a\r\n b"):
+            assert tok.encode(t).tolist() == whole(tok.encoding, t)
